@@ -1,10 +1,3 @@
 """sendegraph: PySpark-native mining of structured knowledge from episodic broadcasts."""
 
-import sys
-
-from pyspark import cloudpickle
-
 __version__ = "0.1.0"
-
-# Functions travel to the executors by value, so that these need no copy of the package.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

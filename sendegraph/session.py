@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -32,6 +34,23 @@ def get_session(app: str = "sendegraph", master: str | None = None, conf: dict[s
     return b.getOrCreate()
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once an application, so that they need no copy of their own."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    _shipped.add(sc.applicationId)
+    root = Path(__file__).resolve().parent
+    target = Path(tempfile.mkdtemp(prefix="sendegraph-")) / "sendegraph.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(target))
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """The cluster's shared checkpoint folder.
 
@@ -57,6 +76,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     driver's JVM ends.
     """
     spark = df.sparkSession
+    ship_package(spark)
     path = f"{scratch_dir(spark)}/sendegraph-{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
     jvm = spark.sparkContext._jvm
@@ -67,4 +87,5 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the test tables."""
+    ship_package(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
