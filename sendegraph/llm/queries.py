@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import table
-from . import contamination, cooccurrence, matching, variants
+from . import contamination, cooccurrence, matching, packing, subjects, variants
 
 
 def _appearances(spark: SparkSession, sf: str) -> DataFrame:
@@ -59,6 +59,37 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return contamination.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id")
 
 
+CAPACITY = 2048
+
+
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """Each container with its documents, pieces and tokens."""
+    items = packing.pieces(table(spark, sf, "documents"), "doc_id", "text", CAPACITY)
+    return packing.pack(items, CAPACITY).groupBy("container").agg(
+        F.count("*").alias("n_pieces"), F.sum("n_tokens").alias("n_tokens"), F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "doc_id", "piece"))), " ").alias("pieces")
+    )
+
+
+def p7_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers used and proved necessary, unused share, texts split and texts that had to be."""
+    items = packing.pieces(table(spark, sf, "documents"), "doc_id", "text", CAPACITY)
+    packed = packing.pack(items, CAPACITY)
+    used = packed.agg(F.count_distinct("container").alias("containers"), F.sum("n_tokens").alias("tokens"), F.count_distinct(F.when(F.col("piece") > 0, F.col("doc_id"))).alias("split_texts"))
+    return used.crossJoin(packing.proof(packed, CAPACITY)).select(
+        "containers", "least_containers", "split_texts", F.round(1 - F.col("tokens") / (F.col("containers") * CAPACITY), 6).alias("unused_share")
+    )
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    """The subject areas of each document."""
+    return subjects.document_subjects(table(spark, sf, "documents"), table(spark, sf, "doc_labels")).select("doc_id", "subject_code")
+
+
+def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents of each subject area: the composition of the corpus."""
+    return p9_found(spark, sf).groupBy("subject_code").agg(F.count("*").alias("n_documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_matches": p1_matches,
@@ -66,7 +97,11 @@ QUERIES = {
     "p4_pairs": p4_pairs,
     "p5_found": p5_found,
     "p5_classes": p5_classes,
+    "p7_containers": p7_containers,
+    "p7_summary": p7_summary,
     "p8_found": p8_found,
+    "p9_found": p9_found,
+    "p9_composition": p9_composition,
 }
 
 _P4 = """
