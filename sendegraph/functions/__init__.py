@@ -1 +1 @@
-"""."""
+"""Columns, text cleaning and mention extraction."""

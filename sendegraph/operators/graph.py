@@ -30,3 +30,107 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         if nxt.where("old <> component").isEmpty():
             return nxt.select("node", "component")
         labels = nxt.select("node", "component")
+
+
+def closure(edges: DataFrame, child: str, parent: str, max_depth: int) -> DataFrame:
+    """(node, ancestor, depth): least depth at which each ancestor is reached, up to ``max_depth``; cycles end by themselves.
+
+    Nodes may have several parents. Each level joins the new pairs with the edges
+    and drops those already known.
+    """
+    e = materialize(edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("c IS NOT NULL AND p IS NOT NULL").distinct(), "edges")
+    new = e.select(F.col("c").alias("node"), F.col("p").alias("ancestor"), F.lit(1).cast("long").alias("depth"))
+    known = new
+    for d in range(2, max_depth + 1):
+        step = new.join(e, F.col("ancestor") == F.col("c")).select("node", F.col("p").alias("ancestor")).distinct()
+        new = materialize(step.join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(d).cast("long")), "level")
+        if new.isEmpty():
+            break
+        known = known.unionByName(new)
+    return known
+
+
+def rewire(edges: DataFrame, rules: DataFrame) -> DataFrame:
+    """Edges (subject, predicate, object) with those of the rules (…, rule ``add`` or ``remove``) added and removed."""
+    cols = ["subject", "predicate", "object"]
+    out = edges.select(*cols).join(rules.where("rule = 'remove'").select(*cols), cols, "left_anti")
+    return out.unionByName(rules.where("rule = 'add'").select(*cols)).distinct()
+
+
+def hops(edges: DataFrame, a: str, b: str, seeds: DataFrame, k: int) -> DataFrame:
+    """(node, hop): least number of undirected steps from any seed, 1 to k; seeds (node) left out."""
+    e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
+    e = materialize(e.union(e.select("y", "x")).distinct(), "both_ways")
+    seen = materialize(seeds.select("node").distinct().withColumn("hop", F.lit(0).cast("long")), "seeds")
+    frontier = seen
+    for h in range(1, k + 1):
+        nxt = frontier.join(e, F.col("node") == F.col("x")).select(F.col("y").alias("node")).distinct()
+        frontier = materialize(nxt.join(seen.select("node"), "node", "left_anti").withColumn("hop", F.lit(h).cast("long")), "hop")
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen.where("hop > 0")
+
+
+def propagate_relevance(triples: DataFrame, seeds: DataFrame, rules: DataFrame, classes: DataFrame, max_rounds: int = 50, both_ways: bool = False) -> DataFrame:
+    """(entity, seed, parent, predicate, round): entities made relevant by inheritable predicates, with where it came from.
+
+    triples (subject, predicate, object); seeds (entity); rules (predicate,
+    subject_class, object_class; null matches any); classes (entity, class): an
+    entity of unknown class contradicts no rule. Of several ways in the same round
+    the smallest (parent, predicate) counts. Once relevant, always relevant.
+    """
+    t = triples.select("subject", "predicate", "object").where("subject IS NOT NULL AND object IS NOT NULL")
+    cls = classes.groupBy("entity").agg(F.min("class").alias("class"))
+    t = t.join(cls.select(F.col("entity").alias("subject"), F.col("class").alias("sc")), "subject", "left").join(cls.select(F.col("entity").alias("object"), F.col("class").alias("oc")), "object", "left")
+    fits = lambda known, wanted: F.col(known).isNull() | F.col(wanted).isNull() | (F.col(known) == F.col(wanted))
+    r = rules.select(F.col("predicate"), "subject_class", "object_class").distinct()
+    ok = t.join(r, "predicate").where(fits("sc", "subject_class") & fits("oc", "object_class")).select("subject", "predicate", "object").distinct()
+    if both_ways:
+        ok = ok.unionByName(ok.select(F.col("object").alias("subject"), "predicate", F.col("subject").alias("object"))).distinct()
+    ok = materialize(ok, "inheritable")
+    none = F.lit(None).cast("string")
+    done = materialize(seeds.select("entity").distinct().select("entity", F.col("entity").alias("seed"), none.alias("parent"), none.alias("predicate"), F.lit(0).cast("long").alias("round")), "seeds")
+    frontier = done
+    for i in range(1, max_rounds + 1):
+        step = frontier.select(F.col("entity").alias("subject"), "seed").join(ok, "subject")
+        step = step.groupBy(F.col("object").alias("entity")).agg(F.min(F.struct(F.col("subject").alias("parent"), "predicate", "seed")).alias("s"))
+        step = step.join(done.select("entity"), "entity", "left_anti").select("entity", "s.seed", "s.parent", "s.predicate", F.lit(i).cast("long").alias("round"))
+        frontier = materialize(step, "round")
+        if frontier.isEmpty():
+            break
+        done = done.unionByName(frontier)
+    return done
+
+
+def rule_groups(candidates: DataFrame, rules: DataFrame) -> DataFrame:
+    """(candidate, allowed): permit and exclude groups; in a group all rules must hold, an exclude group vetoes, any permit group allows.
+
+    candidates (candidate, predicate, object) facts; rules (rule_type, group_id,
+    predicate, object), ``*`` standing for any object. The rules are few.
+    """
+    facts = candidates.select("candidate", "predicate", "object").distinct()
+    need = rules.groupBy("rule_type", "group_id").agg(F.count("*").alias("need"))
+    r = rules.withColumn("rid", F.monotonically_increasing_id())
+    hit = facts.join(r.select("rule_type", "group_id", "rid", F.col("predicate").alias("rp"), F.col("object").alias("ro")), (F.col("predicate") == F.col("rp")) & ((F.col("ro") == "*") | (F.col("object") == F.col("ro"))))
+    full = hit.groupBy("candidate", "rule_type", "group_id").agg(F.count_distinct("rid").alias("got")).join(need, ["rule_type", "group_id"]).where("got = need")
+    per = full.groupBy("candidate").agg(F.max(F.col("rule_type") == "permit").alias("p"), F.max(F.col("rule_type") == "exclude").alias("x"))
+    return facts.select("candidate").distinct().join(per, "candidate", "left").select("candidate", (F.coalesce("p", F.lit(False)) & ~F.coalesce("x", F.lit(False))).alias("allowed"))
+
+
+def adjacency(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(node, n_out, n_in): the number of distinct neighbours in both directions."""
+    e = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).where("x IS NOT NULL AND y IS NOT NULL").distinct()
+    o = e.groupBy(F.col("x").alias("node")).agg(F.count("*").alias("n_out"), F.lit(0).cast("long").alias("n_in"))
+    i = e.groupBy(F.col("y").alias("node")).agg(F.lit(0).cast("long").alias("n_out"), F.count("*").alias("n_in"))
+    return o.unionByName(i).groupBy("node").agg(F.sum("n_out").alias("n_out"), F.sum("n_in").alias("n_in"))
+
+
+def propagated_counts(pairs: DataFrame, direct: DataFrame) -> DataFrame:
+    """(node, n_direct, n_total): own count and that of all descendants.
+
+    pairs (node, ancestor); direct (node, n).
+    """
+    up = pairs.select("node", "ancestor").join(direct, "node").groupBy(F.col("ancestor").alias("node")).agg(F.sum("n").alias("below"))
+    both = direct.select("node", F.col("n").alias("n_direct"), F.lit(0).cast("long").alias("below")).unionByName(up.select("node", F.lit(0).cast("long").alias("n_direct"), "below"))
+    return both.groupBy("node").agg(F.sum("n_direct").alias("n_direct"), (F.sum("n_direct") + F.sum("below")).alias("n_total"))

@@ -131,17 +131,17 @@ def path_groups(tr: DataFrame) -> dict[str, list[str]]:
 
 
 def pivot_group(tr: DataFrame, key: str, group: str, paths: list[str]) -> DataFrame:
-    """One flat table: key, ``o1..on`` (ordinals: all but the last are the parent's key), one column for each path."""
+    """One flat table: key, ``o1..on`` (ordinals: all but the last are the parent's key), one column for each path.
+
+    A field whose name is taken by a key column gets the prefix ``field_``.
+    """
     n = group.count("*") + group.count("[]")
     own = tr.where(F.col("path").isin(paths))
-    cols = []
-    for p in paths:
-        name = re.sub(r"\W+", "_", p[len(group):].strip(".")) or "self"
-        cols.append(F.max(F.when(F.col("path") == p, F.coalesce("value", F.lit("{}")))).alias(name))
-    return (
-        own.groupBy(key, "ord").agg(*cols)
-        .select(key, *[F.col("ord")[i].alias(f"o{i + 1}") for i in range(n)], *[F.col(re.sub(r"\W+", "_", p[len(group):].strip(".")) or "self") for p in paths])
-    )
+    taken = {key, "ord", *(f"o{i + 1}" for i in range(n))}
+    names = [re.sub(r"\W+", "_", p[len(group):].strip(".")) or "self" for p in paths]
+    names = [f"field_{x}" if x in taken else x for x in names]
+    cols = [F.max(F.when(F.col("path") == p, F.coalesce("value", F.lit("{}")))).alias(x) for p, x in zip(paths, names)]
+    return own.groupBy(key, "ord").agg(*cols).select(key, *[F.col("ord")[i].alias(f"o{i + 1}") for i in range(n)], *names)
 
 
 CLAIM_KEYS = r"P\d+"

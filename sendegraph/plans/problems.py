@@ -90,10 +90,10 @@ links AS (
   SELECT node, CASE WHEN node IN (SELECT 'Q' || regexp_extract(class_id, '[Qq]\\s*0*([0-9]+)', 1) FROM core_classes) THEN NULL ELSE parent END AS parent
   FROM l1 WHERE rn = 1),
 walk AS (
-  SELECT node AS start, node AS at, [node] AS seen, 0 AS steps, false AS looped FROM links
+  SELECT node AS start, node AS cur, [node] AS seen, 0 AS steps, false AS looped FROM links
   UNION ALL
   SELECT w.start, l.parent, list_append(w.seen, l.parent), w.steps + 1, list_contains(w.seen, l.parent)
-  FROM walk w JOIN links l ON l.node = w.at WHERE l.parent IS NOT NULL AND NOT w.looped),
+  FROM walk w JOIN links l ON l.node = w.cur WHERE l.parent IS NOT NULL AND NOT w.looped),
 ends AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY steps DESC) AS k FROM walk) WHERE k = 1)
 """
 
@@ -101,13 +101,13 @@ ORACLE = {
     "p2_found": _WALK
     + """
 SELECT start AS class_id,
-       CASE WHEN looped THEN list_min(seen[list_position(seen, at):]) ELSE at END AS root_class_id,
+       CASE WHEN looped THEN list_min(list_slice(seen, list_position(seen, cur), len(seen))) ELSE cur END AS root_class_id,
        CASE WHEN looped THEN -1 ELSE steps END::BIGINT AS node_depth
 FROM ends""",
     "p2_paths": _WALK
     + """
 , pairs AS (
-  SELECT e.start AS descendant, unnest(e.seen[2:]) AS ancestor FROM ends e WHERE NOT e.looped AND e.steps > 0),
+  SELECT e.start AS descendant, unnest(list_slice(e.seen, 2, len(e.seen))) AS ancestor FROM ends e WHERE NOT e.looped AND e.steps > 0),
 n AS (SELECT ancestor, count(*) AS n FROM pairs GROUP BY 1)
 SELECT start AS class_id,
        CASE WHEN looped THEN start ELSE array_to_string(list_reverse(seen), '>') END AS class_path,
