@@ -16,7 +16,7 @@ values, where there is one, adds ``codebook_weight`` uses to each of them.
 Work is done once for each distinct packed text, so copies - also one text that
 fills a third of the table - cost nothing further.
 
-Defined results: null, blank and delimiter-only fields give no rows; positions
+Defined results: null and blank fields and those without a letter or digit give no rows; positions
 count from 1 and skip empty places; a value that occurs twice in a field keeps
 both positions; ties go to the parse with fewer values, then to the dialect
 named first below.
@@ -100,7 +100,7 @@ def runs(pieces: list[str], delimiter: str | None, fixed: list[bool] | None = No
 
 def parses(text: str | None) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """The distinct parses of a packed text: (dialect, runs), dialects in order."""
-    if text is None or not text.strip(BLANKS):
+    if text is None or not any(c.isalnum() for c in text):
         return []
     found: list[tuple[str, list[tuple[int, int, str]]]] = []
     seen = set()

@@ -34,7 +34,7 @@ def read_json_objects(spark: SparkSession, path: str, first_file_wins: bool = Tr
     schema = "key string, value string, file string"
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
-    t = spark.read.text(path, wholetext=True).select("value", F.element_at(F.split(F.input_file_name(), "/"), -1).alias("file"))
+    t = spark.read.text(path, wholetext=True).select("value", F.try_element_at(F.split(F.input_file_name(), "/"), F.lit(-1)).alias("file"))
     t = t.where(~F.col("file").startswith("not_relevant_"))
     obj = F.from_json("value", T.MapType(T.StringType(), T.StringType()))
     out = t.select("file", F.explode(obj).alias("key", "value")).select("key", "value", "file")
@@ -69,7 +69,7 @@ def split_blocks(df: DataFrame, key: str, text: str, marker: str = r"--- EPISODE
 
 def page_sessions(df: DataFrame, doc: str, page: str, text: str, pattern: str = r"Seite (\d+) von (\d+)") -> DataFrame:
     """(doc, session, pages, first_page, block): pages into episodes: page 1 opens one; pages without a mark join the open one."""
-    no = F.element_at(F.regexp_extract_all(F.col(text), F.lit(pattern), 1), -1)
+    no = F.try_element_at(F.regexp_extract_all(F.col(text), F.lit(pattern), 1), F.lit(-1))
     w = Window.partitionBy(doc).orderBy(page)
     d = df.withColumn("_s", F.sum(F.when(no == "1", 1).otherwise(0)).over(w))
     return d.groupBy(doc, F.col("_s").cast("long").alias("session")).agg(
