@@ -88,6 +88,19 @@ class Rules:
         self.by_first = defaultdict(list)
         for x in multi:
             self.by_first[x[0]].append(x)
+        self.in_multi = {i for x in multi for i in x}
+        self.cache: dict[str, tuple[list[str], list[str]]] = {}
+
+    def items_of(self, w: str) -> tuple[list[str], list[str]]:
+        """(items that are judged, all items) of a word; items without a rule are left out."""
+        got = self.cache.get(w)
+        if got is None:
+            if len(self.cache) > 500_000:
+                self.cache.clear()
+            its = word_items(w, self.tails)
+            judged = its[:1] if self.support.get(its[0], 0) >= self.special else its
+            got = self.cache[w] = ([i for i in judged if i in self.single], [i for i in its if i in self.in_multi])
+        return got
 
     def evidence(self, ws: list[str]) -> tuple[str | None, float]:
         """The subject with the most evidence, and its lead over the next one.
@@ -95,11 +108,12 @@ class Rules:
         A word that was seen often enough itself is not judged by its stem, and
         a rule on several items replaces those on its parts.
         """
-        used, have = [], set()
+        used: list[str] = []
+        have: set[str] = set()
         for w in set(ws):
-            its = word_items(w, self.tails)
+            judged, its = self.items_of(w)
+            used += judged
             have.update(its)
-            used += its[:1] if self.support.get(its[0], 0) >= self.special else its
         score: dict[str, float] = defaultdict(float)
         covered: set[str] = set()
         for first in have:
@@ -119,13 +133,15 @@ class Rules:
 
 
 def judge_udf(rules: Rules):
-    @pandas_udf("array<struct<subject:string,lead:double>>")
+    """Text to the subjects of its sentences on any subject."""
+
+    @pandas_udf("array<string>")
     def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for docs in it:
+        for texts in it:
             out = []
-            for ss in docs:
-                got = [rules.evidence(list(ws)) for ws in ss]
-                out.append([{"subject": c, "lead": float(v)} for c, v in got if c is not None])
+            for t in texts:
+                got = (rules.evidence(ws) for ws in sentences(t))
+                out.append([c for c, v in got if c is not None and v >= rules.cut])
             yield pd.Series(out, dtype=object)
 
     return run
@@ -153,6 +169,8 @@ def _mine(trans: DataFrame, n_classes: int, min_count: int, min_conf: float) ->
         return pd.Series([sorted(keep.intersection(x)) for x in col], dtype=object)
 
     tr = trans.select(select("items").alias("items"), "labels").where(F.size("items") > 0)
+    if tr.isEmpty():
+        return support, {}, {}
     tr = materialize(tr.select(F.concat("items", F.transform("labels", lambda c: F.concat(F.lit(LABEL), c))).alias("items")), "transactions")
     model = FPGrowth(itemsCol="items", minSupport=min_count / total * 0.999, numPartitions=int(trans.sparkSession.conf.get("spark.sql.shuffle.partitions"))).fit(tr)
     sets = model.freqItemsets
@@ -223,9 +241,8 @@ def fit_rules(documents: DataFrame, labels: DataFrame, max_labelled: int = 20_00
 
 def subject_shares(documents: DataFrame, rules: Rules, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, subject_code, n_sentences, share): the subjects of each document's sentences on any subject."""
-    judged = documents.select(F.col(doc_id), judge_udf(rules)(sentences_udf()(F.col(text))).alias("j"))
-    one = judged.select(doc_id, F.filter("j", lambda x: x.lead >= F.lit(rules.cut)).alias("j"))
-    long = one.select(doc_id, F.size("j").alias("all"), F.explode("j.subject").alias("subject_code"))
+    judged = documents.select(F.col(doc_id), judge_udf(rules)(F.col(text)).alias("j"))
+    long = judged.select(doc_id, F.size("j").alias("all"), F.explode("j").alias("subject_code"))
     return long.groupBy(doc_id, "all", "subject_code").agg(F.count("*").alias("n_sentences")).select(
         doc_id, "subject_code", "n_sentences", (F.col("n_sentences") / F.col("all")).alias("share")
     )
