@@ -125,3 +125,30 @@ def test_running_over_partitions(spark, n):
     df = spark.createDataFrame([(i, i % 3) for i in range(n)], "i int, v int")
     got = [r["running"] for r in stats.running(df, [F.asc("i")], "v").orderBy("i").collect()]
     assert got == [sum(j % 3 for j in range(i + 1)) for i in range(n)]
+
+
+def test_entities(spark, rows):
+    from sendegraph.operators import entities as E
+
+    m = spark.sql("SELECT map('de', 'alt', 'fr', 'x') AS o, map('de', 'neu', 'en', 'y') AS n").select(E.merge_languages(F.col("o"), F.col("n")).alias("m")).first()["m"]
+    assert m == {"de": "neu", "en": "y", "fr": "x"}
+    c = spark.createDataFrame([("a", "Q1", 1), ("a", "Q2", 2), ("b", "Q2", 1), ("b", "Q1", 1), ("c", "Q1", 3), ("c", "Q1", 3)], "node string, core string, depth int")
+    assert rows(E.conflict_decision(c)) == [("a", "depth_advantage", "Q1", 1), ("b", "precedence_tiebreak", "Q1", 0), ("c", "single", "Q1", None)]
+    links = spark.createDataFrame([("p", "q"), ("q", "r"), ("r", "p"), ("x", "y"), ("q", None)], "page string, target string")
+    assert rows(E.crawl_frontier(links, spark.createDataFrame([("p",)], "page string"))) == [("p", 0), ("q", 1), ("r", 2)]
+    e = E.eligibility(F.lit(False), F.col("seed"), F.col("hop"), F.col("core"))
+    d = spark.createDataFrame([(True, None, None), (None, 1, "Q1"), (None, 3, "Q1"), (None, 2, None), (None, None, "Q1")], "seed boolean, hop int, core string")
+    assert [r[0] for r in d.select(e).collect()] == ["seed", "core_match", "too_far", "no_core_match", "unreached"]
+
+
+def test_statements(spark):
+    import json
+
+    from sendegraph.operators import entities as E
+
+    claims = {"P1": [{"rank": "normal", "mainsnak": {"snaktype": "value", "property": "P1", "datavalue": {"type": "wikibase-entityid", "value": {"id": "Q9"}}}}, {"mainsnak": {"snaktype": "value", "datavalue": {"type": "quantity", "value": {"amount": "+175"}}}}],
+              "P2": {"mainsnak": {"snaktype": "novalue", "property": "P2"}}, "P3": [{"mainsnak": {"datavalue": {"type": "string", "value": "x"}}}]}
+    df = spark.createDataFrame([("Q1", 1, json.dumps(claims))], "id string, discovered_at_utc int, claims string")
+    got = {(r["pid"], r["statement_no"]): (r["item"], r["amount"], r["text"]) for r in E.statements(df).collect()}
+    assert got == {("P1", 0): ("Q9", None, None), ("P1", 1): (None, 175.0, None), ("P2", 0): (None, None, None), ("P3", 0): (None, None, "x")}
+    assert [tuple(r) for r in E.entity_triples(df).collect()] == [("Q1", "P1", "Q9", "normal")]
