@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import url_path
 from ..session import table
 from . import contamination, cooccurrence, matching, packing, subjects, variants
 
 
 def _appearances(spark: SparkSession, sf: str) -> DataFrame:
-    path = cooccurrence.page_path(F.col("fernsehserien_de_id"))
+    path = url_path(F.col("fernsehserien_de_id"))
     return table(spark, sf, "episode_appearances").select(
         F.split(path, "/")[0].alias("programme_id"), path.alias("episode"), F.col("canonical_entity_id").alias("entity")
     )
