@@ -7,6 +7,7 @@ the whole chain of rounds.
 
 from __future__ import annotations
 
+import io
 import tempfile
 import uuid
 import zipfile
@@ -38,17 +39,25 @@ _shipped: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package, once an application, so that they need no copy of their own."""
+    """Give the executors this package, once an application, so that they need no copy of their own.
+
+    The archive lies in the shared scratch folder like all other intermediate files.
+    """
     sc = spark.sparkContext
     if sc.applicationId in _shipped:
         return
     _shipped.add(sc.applicationId)
-    root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="sendegraph-")) / "sendegraph.zip"
-    with zipfile.ZipFile(target, "w") as z:
+    root, buf = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(buf, "w", zipfile.ZIP_DEFLATED) as z:
         for f in sorted(root.rglob("*.py")):
             z.write(f, f.relative_to(root.parent))
-    sc.addPyFile(str(target))
+    target = sc._jvm.org.apache.hadoop.fs.Path(f"{scratch_dir(spark)}/sendegraph-{sc.applicationId}/code/sendegraph.zip")
+    fs = target.getFileSystem(sc._jsc.hadoopConfiguration())
+    out = fs.create(target, True)
+    out.write(buf.getvalue())
+    out.close()
+    fs.deleteOnExit(target)
+    sc.addPyFile(target.toString())
 
 
 def scratch_dir(spark: SparkSession) -> str:
