@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .reshape import ordinal
+
 
 def unique_index(df: DataFrame, label: str, id_: str) -> DataFrame:
     """(label, id): labels that exactly one id has."""
@@ -35,7 +37,7 @@ def cascade(left: DataFrame, right: DataFrame, tiers: list[tuple[str, str, float
 
 def one_to_one(left: DataFrame, right: DataFrame, label: str, lid: str, rid: str) -> DataFrame:
     """(lid, rid): the n-th left row of a label takes the n-th right row of it."""
-    nth = lambda df, i: df.where(F.col(label).isNotNull()).select(label, i, F.row_number().over(Window.partitionBy(label).orderBy(i)).alias("_n"))
+    nth = lambda df, i: ordinal(df.where(F.col(label).isNotNull()).select(label, i), [label], [i], "_n")
     return nth(left, lid).join(nth(right, rid), [label, "_n"]).select(lid, rid)
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .reshape import ordinal
+
 
 def latest_per_key(df: DataFrame, key: list[str], seq: str, keep: list[str]) -> DataFrame:
     """Last writer wins: of each key the row with the greatest sequence; one row per key and task is shuffled."""
@@ -23,8 +25,7 @@ def chunk_catalog(df: DataFrame, seq: str, chunk: Column, time: str) -> DataFram
 
 def ordinal_windows(df: DataFrame, key: list[str], seq: str, size: int, flags: dict[str, Column]) -> DataFrame:
     """Tumbling windows of ``size`` events per key: events, the sum of each flag, first and last sequence."""
-    n = F.row_number().over(Window.partitionBy(*key).orderBy(seq)) - 1
-    d = df.withColumn("window_no", F.floor(n / size).cast("long"))
+    d = ordinal(df, key, [seq], "window_no").withColumn("window_no", F.floor(F.col("window_no") / size).cast("long"))
     return d.groupBy(*key, "window_no").agg(F.count("*").alias("calls"), *[F.sum(F.coalesce(c, F.lit(False)).cast("long")).alias(k) for k, c in flags.items()], F.min(seq).alias("first_seq"), F.max(seq).alias("last_seq"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def ensure_columns(df: DataFrame, columns: list[str]) -> DataFrame:
     """The columns in order; those that are absent are blank."""
@@ -38,8 +40,22 @@ def top_columns(df: DataFrame, always: list[str], most: int) -> DataFrame:
 
 
 def ordinal(df: DataFrame, group: list[str], order: list, name: str = "ordinal") -> DataFrame:
-    """The place of each row in its group, from 0."""
-    return df.withColumn(name, (F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1).cast("long"))
+    """The place of each row in its group, from 0.
+
+    Groups are cut where range partitions of (group, order) end: rows are numbered
+    inside each part and the sizes of the parts before it are added, so a group
+    that holds a third of the table is spread over many tasks. Null is a group.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = materialize(df.repartitionByRange(n, *group, *order).withColumn("_p", F.spark_partition_id()), "ranges")
+    sizes = part.groupBy("_p", *group).agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # at most as many rows as partitions
+    base = sizes.select(F.col("_p").alias("_q"), *[F.col(g).alias(f"_g_{g}") for g in group], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_b"))
+    inner = part.withColumn("_i", F.row_number().over(Window.partitionBy("_p", *group).orderBy(*order)))
+    same = F.col("_p") == F.col("_q")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"_g_{g}"))
+    return inner.join(base, same).select(*df.columns, (F.col("_b") + F.col("_i") - 1).cast("long").alias(name))
 
 
 def wide(df: DataFrame, key: str, ordinal_col: str, fields: list[str], width: int) -> DataFrame:

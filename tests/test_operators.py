@@ -152,3 +152,14 @@ def test_statements(spark):
     got = {(r["pid"], r["statement_no"]): (r["item"], r["amount"], r["text"]) for r in E.statements(df).collect()}
     assert got == {("P1", 0): ("Q9", None, None), ("P1", 1): (None, 175.0, None), ("P2", 0): (None, None, None), ("P3", 0): (None, None, "x")}
     assert [tuple(r) for r in E.entity_triples(df).collect()] == [("Q1", "P1", "Q9", "normal")]
+
+
+def test_ordinal_of_hot_null_and_empty_groups(spark):
+    import random
+
+    rnd = random.Random(3)
+    rows_ = [("hot" if i % 3 else rnd.choice(["a", None, ""]), i * 7 % 601) for i in range(600)]
+    df = spark.createDataFrame(rows_, "g string, v int")
+    got = {(r["g"], r["v"]): r["ordinal"] for r in reshape.ordinal(df, ["g"], ["v"]).collect()}
+    want = {(g, v): sum(h == g and w < v for h, w in rows_) for g, v in rows_}
+    assert got == want and reshape.ordinal(df.limit(0), ["g"], ["v"]).count() == 0
