@@ -97,7 +97,27 @@ walk AS (
 ends AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY start ORDER BY steps DESC) AS k FROM walk) WHERE k = 1)
 """
 
+_SNAKS = r"""
+WITH v AS (SELECT id, claims, row_number() OVER (PARTITION BY id ORDER BY discovered_at_utc DESC NULLS LAST, claims DESC NULLS LAST) AS k FROM entity_store_jsonl WHERE id <> ''),
+a AS (SELECT id, CASE WHEN json_valid(claims) THEN claims::JSON END AS j FROM v WHERE k = 1),
+b AS (SELECT id, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(j ->> '$') THEN (j ->> '$')::JSON END ELSE j END AS j FROM a WHERE j IS NOT NULL),
+c AS (SELECT id, CASE WHEN json_type(j) = 'OBJECT' AND json_keys(j) = ['claims'] THEN json_extract(j, '$.claims') ELSE j END AS j FROM b),
+p AS (SELECT id, pid, json_extract(j, '$."' || pid || '"') AS x FROM (SELECT id, j, unnest(json_keys(j)) AS pid FROM c WHERE json_type(j) = 'OBJECT') WHERE regexp_full_match(pid, 'P[0-9]+')),
+pl AS (SELECT id, pid, CASE json_type(x) WHEN 'ARRAY' THEN json_extract(x, '$[*]') WHEN 'OBJECT' THEN [x] ELSE [] END AS l FROM p),
+s AS (SELECT id, pid, unnest(l) AS st, generate_subscripts(l, 1) - 1 AS sn FROM pl),
+q AS (SELECT id, pid, sn, 'qualifier' AS section, 0 AS rn, json_extract(st, '$.qualifiers') AS m FROM s
+      UNION ALL SELECT id, pid, sn, 'reference', generate_subscripts(l, 1) - 1, json_extract(unnest(l), '$.snaks') FROM (
+        SELECT id, pid, sn, CASE json_type(json_extract(st, '$.references')) WHEN 'ARRAY' THEN json_extract(st, '$.references[*]') WHEN 'OBJECT' THEN [json_extract(st, '$.references')] ELSE [] END AS l FROM s)),
+k AS (SELECT id, pid, sn, section, rn, kp, json_extract(m, '$."' || kp || '"') AS x FROM (SELECT *, unnest(json_keys(m)) AS kp FROM q WHERE json_type(m) = 'OBJECT') WHERE regexp_full_match(kp, 'P[0-9]+')),
+z AS (SELECT id, pid, sn, section, rn, kp, CASE json_type(x) WHEN 'ARRAY' THEN json_extract(x, '$[*]') WHEN 'OBJECT' THEN [x] ELSE [] END AS l FROM k)
+SELECT id AS entity_id, pid, sn::BIGINT AS statement_no, section AS snak_section, rn::BIGINT AS section_no, kp AS snak_pid, (generate_subscripts(l, 1) - 1)::BIGINT AS snak_no FROM z
+UNION ALL SELECT id, pid, sn::BIGINT, 'mainsnak', 0::BIGINT, pid, 0::BIGINT FROM s WHERE json_type(json_extract(st, '$.mainsnak')) = 'OBJECT'"""
+
 ORACLE = {
+    "p3_found": _SNAKS,
+    "claim_coverage": f"""SELECT pid, count(DISTINCT entity_id) AS entities, count(*) FILTER (WHERE snak_section = 'mainsnak') AS statements,
+       count(*) FILTER (WHERE snak_section = 'qualifier') AS qualifiers, count(*) FILTER (WHERE snak_section = 'reference') AS "references" FROM ({_SNAKS}) GROUP BY 1""",
+    "property_profile": f"""SELECT entity_id, count(DISTINCT pid) AS properties, count(*) AS statements FROM ({_SNAKS}) WHERE snak_section = 'mainsnak' GROUP BY 1""",
     "p2_found": _WALK
     + """
 SELECT start AS class_id,
