@@ -36,7 +36,7 @@ from pyspark.sql.functions import pandas_udf
 from ..operators.graph import connected_components
 from ..session import materialize
 from . import names as N
-from .variants import READINGS, given_lexicon
+from .variants import READINGS, given_lexicon, known_of, with_known
 
 SOURCES = ["wikidata", "fernsehserien_de", "zdf"]
 
@@ -84,19 +84,19 @@ def seat(text: str | None) -> tuple[str | None, str | None, str | None]:
     return (N.kind_of(k.group(1)) if k else None), (N.skeleton(t.group(1)) if t else None), town
 
 
-def features_udf(lexicon: frozenset[str]):
-    """(label, aliases, description, date, person?) to the attributes that are compared."""
+def features_udf():
+    """(label, aliases, description, date, person?, known given names) to the attributes that are compared."""
 
     @pandas_udf(f"r {READINGS}, occ string, ylo int, yhi int, town string, kind string, theme string")
-    def run(label: pd.Series, alias: pd.Series, desc: pd.Series, date: pd.Series, person: pd.Series) -> pd.DataFrame:
+    def run(label: pd.Series, alias: pd.Series, desc: pd.Series, date: pd.Series, person: pd.Series, known: pd.Series) -> pd.DataFrame:
         out = []
-        for lab, al, de, da, pe in zip(label, alias, desc, date, person):
+        for lab, al, de, da, pe, lexicon in zip(label, alias, desc, date, person, map(frozenset, known)):
             if pe:
                 occ, lo, hi, town = describe(de, da)
                 rs = N.readings(lab, lexicon)
                 for a in (al or "").split("|"):
                     rs += [r for r in N.readings(a, lexicon) if r not in rs]
-                out.append(([{"given": g, "family": list(f)} for g, f in rs], occ, lo, hi, town, None, None))
+                out.append(([{"given": g, "family": list(f), "known": g in lexicon} for g, f in rs], occ, lo, hi, town, None, None))
             else:
                 b, (kind, theme, town) = N.body(lab), seat(de)
                 for a in (al or "").split("|"):
@@ -186,7 +186,7 @@ def occupation_classes(rows: DataFrame) -> DataFrame:
     return connected_components(edges, "x", "y").select(F.col("node").alias("occ"), F.col("component").alias("occ_class"))
 
 
-def confidence_udf(lexicon: frozenset[str]):
+def confidence_udf():
     """The confidence of a pair: agreement of the names, weighted up by each attribute that agrees."""
 
     @pandas_udf("double")
@@ -203,7 +203,7 @@ def confidence_udf(lexicon: frozenset[str]):
                 continue
             a = [(r["given"], tuple(r["family"])) for r in xa]
             b = [(r["given"], tuple(r["family"])) for r in xb]
-            m = N.name_match(a, b, lexicon)
+            m = N.name_match(a, b, known_of(xa, xb))
             agree = int(o > 0) + int(y > 0) + int(t > 0) + int(e > 0)
             if m < 0.52 or (agree == 0 and m < 0.9):
                 out.append(0.0)
@@ -311,7 +311,7 @@ def match_units(rows: DataFrame, window: int = 20) -> DataFrame:
     )
     lexicon = given_lexicon(base.where("person"), "label")
     hand = occupation_classes(latest.where("n_sources > 1 AND entity_class = 'person'"))
-    units = base.withColumn("f", features_udf(lexicon)("label", "alias", "desc", "date", "person")).select("id", "source", "cls", "day", "show", "f.*")
+    units = with_known(base, "id", ["label", "alias"], lexicon).withColumn("f", features_udf()("label", "alias", "desc", "date", "person", "known")).select("id", "source", "cls", "day", "show", "f.*")
     units = materialize(units.join(hand, "occ", "left").withColumn("occ", F.coalesce("occ_class", "occ")).drop("occ_class"), "features")
     attrs = ["source", "cls", "occ", "ylo", "yhi", "town", "day", "show"]
     keyed = units.withColumn("k", F.explode(keys_udf()("r", "occ", "ylo", "town", "day", "kind", "theme"))).select("id", *attrs, "k.pass", "k.key")
@@ -329,7 +329,7 @@ def match_units(rows: DataFrame, window: int = 20) -> DataFrame:
     side = lambda x: units.select(F.col("id").alias(f"id_{x}"), F.col("source").alias(f"s_{x}"), *[F.col(c).alias(f"{c}_{x}") for c in ("r", "kind", "theme")])
     scored = materialize(
         cands.join(side("a"), "id_a").join(side("b"), "id_b")
-        .withColumn("confidence", confidence_udf(lexicon)("r_a", "r_b", "kind_a", "kind_b", "theme_a", "theme_b", "occ", "year", "town", "scene"))
+        .withColumn("confidence", confidence_udf()("r_a", "r_b", "kind_a", "kind_b", "theme_a", "theme_b", "occ", "year", "town", "scene"))
         .where("confidence > 0")
         .select("id_a", "id_b", "s_a", "s_b", "confidence", (F.col("occ") + F.col("year") + F.col("town") + F.col("scene")).alias("agree"), F.col("theme_a").isNotNull().alias("body")),
         "scored",

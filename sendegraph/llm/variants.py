@@ -29,7 +29,7 @@ from ..operators.graph import connected_components
 from ..session import materialize
 from . import names as N
 
-READINGS = "array<struct<given:string,family:array<string>>>"
+READINGS = "array<struct<given:string,family:array<string>,known:boolean>>"
 
 
 def year_of(c: Column) -> Column:
@@ -38,12 +38,15 @@ def year_of(c: Column) -> Column:
     return F.when(y != "", y.cast("int"))
 
 
-def given_lexicon(labels: DataFrame, label: str, min_partners: int = 25, max_size: int = 50_000) -> frozenset[str]:
-    """Tokens that stand beside many different others: given names.
+def given_lexicon(labels: DataFrame, label: str, far: int = 5) -> DataFrame:
+    """(t): tokens that stand at the given end of names: given names.
 
-    The stock of given names is that of a language; ``max_size`` bounds what
-    comes to the driver. A token that is missing only leaves the order open, and
-    both readings of its names are then used.
+    Of the different names a token is used in, more than half must have it at the
+    given end, beyond chance (lower end of Wilson's 95 % interval); how large the
+    table is makes no difference. A token one slip from another with ``far``
+    times its partners is a misspelling and not known, however often it occurs. A
+    token that is missing only leaves the order open, and both readings of its
+    names are then used.
     """
 
     @pandas_udf("array<string>")
@@ -59,38 +62,79 @@ def given_lexicon(labels: DataFrame, label: str, min_partners: int = 25, max_siz
 
         return pd.Series([one(x) for x in col], dtype=object)
 
-    e = labels.select(ends(F.col(label)).alias("e")).where(F.size("e") == 2)
-    both = e.select(F.col("e")[0].alias("t"), F.col("e")[1].alias("o")).union(e.select(F.col("e")[1], F.col("e")[0]))
-    top = both.distinct().groupBy("t").agg(F.count("*").alias("n")).where(F.col("n") >= min_partners)
-    return frozenset(r["t"] for r in top.orderBy(F.desc("n"), "t").limit(max_size).collect())
+    @pandas_udf("array<string>")
+    def dels(col: pd.Series) -> pd.Series:
+        return pd.Series([N.deletions(x, 3) for x in col], dtype=object)
+
+    @pandas_udf("boolean")
+    def slip(a: pd.Series, b: pd.Series) -> pd.Series:
+        return pd.Series([N.edits(x, y, 1) <= 1 or x.replace("rn", "m") == y.replace("rn", "m") for x, y in zip(a, b)], dtype="bool")
+
+    e = labels.select(ends(F.col(label)).alias("e")).where(F.size("e") == 2).select(F.col("e")[0].alias("g"), F.col("e")[1].alias("f")).distinct()
+    one, no = F.lit(1).cast("long"), F.lit(0).cast("long")
+    both = e.select(F.col("g").alias("t"), one.alias("given")).union(e.select("f", no))
+    uses = materialize(both.groupBy("t").agg(F.count("*").alias("n"), F.sum("given").alias("given")), "ends")
+    share, z = F.col("given") / F.col("n"), 3.84
+    low = (share + z / (2 * F.col("n")) - F.sqrt(z * (share * (1 - share) + z / (4 * F.col("n"))) / F.col("n"))) / (1 + z / F.col("n"))
+    known = materialize(uses.where(low > 0.5), "given_ends")
+    least = known.agg(F.min("n").alias("least"))
+    common = uses.crossJoin(F.broadcast(least)).where(F.col("n") >= far * F.col("least"))  # one row
+    rare = known.select("t", "n", F.explode(dels("t")).alias("form"))
+    often = common.select(F.col("t").alias("t2"), F.col("n").alias("n2"), F.explode(dels("t")).alias("form"))
+    slips = rare.join(often, "form").where(F.col("n2") >= far * F.col("n")).select("t", "t2").distinct().where(slip("t", "t2"))
+    return materialize(known.select("t").join(slips.select("t"), "t", "left_anti"), "given_names")
+
+
+def with_known(df: DataFrame, key: str, labels: list[str], lexicon: DataFrame) -> DataFrame:
+    """``df`` with ``known``: which tokens of the labels are given names. Labels may hold several names between bars.
+
+    ``key`` tells the labels; nothing comes to the driver.
+    """
 
+    @pandas_udf("array<string>")
+    def tokens(col: pd.Series) -> pd.Series:
+        def one(x: str | None) -> list[str]:
+            ss = [N.bare(y) for y in (x or "").split("|")] if x else []
+            return sorted({N.skeleton(p) for s in ss for v in (s, s.replace(",", " ")) for t in v.split() for p in t.split("-")} - {""})
 
-def readings_udf(lexicon: frozenset[str]):
+        return pd.Series([one(x) for x in col], dtype=object)
+
+    t = df.select(key, F.concat_ws("|", *labels).alias("x")).distinct().select(key, F.explode(tokens("x")).alias("t"))
+    got = t.join(lexicon, "t").groupBy(key).agg(F.collect_set("t").alias("known"))
+    return df.join(got, key, "left").withColumn("known", F.coalesce("known", F.array().cast("array<string>")))
+
+
+def known_of(*sides) -> frozenset[str]:
+    """The known given names among readings."""
+    return frozenset(r["given"] for rs in sides for r in rs if r["known"])
+
+
+def readings_udf():
     @pandas_udf(READINGS)
-    def run(col: pd.Series) -> pd.Series:
-        return pd.Series([[{"given": g, "family": list(f)} for g, f in N.readings(x, lexicon)] for x in col], dtype=object)
+    def run(col: pd.Series, known: pd.Series) -> pd.Series:
+        return pd.Series([[{"given": g, "family": list(f), "known": g in k} for g, f in N.readings(x, k)] for x, k in zip(col, map(frozenset, known))], dtype=object)
 
     return run
 
 
-def match_udf(lexicon: frozenset[str]):
+def match_udf():
     @pandas_udf("double")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         def rd(x) -> list:
             return [(r["given"], tuple(r["family"])) for r in x]
 
-        return pd.Series([N.name_match(rd(x), rd(y), lexicon) for x, y in zip(a, b)], dtype="float64")
+        return pd.Series([N.name_match(rd(x), rd(y), known_of(x, y)) for x, y in zip(a, b)], dtype="float64")
 
     return run
 
 
-def given_udf(lexicon: frozenset[str]):
+def given_udf():
     """True unless every reading has two known given names that differ."""
 
     @pandas_udf("boolean")
     def run(a: pd.Series, b: pd.Series) -> pd.Series:
         def ok(x, y) -> bool:
-            return any(N.given_match(p["given"], q["given"], True, True) > 0 or not (p["given"] in lexicon and q["given"] in lexicon) for p in x for q in y)
+            return any(N.given_match(p["given"], q["given"], True, True) > 0 or not (p["known"] and q["known"]) for p in x for q in y)
 
         return pd.Series([ok(x, y) for x, y in zip(a, b)], dtype="bool")
 
@@ -125,7 +169,7 @@ def person_links(rows: DataFrame, key: str, label: str, year: Column, place: Col
     base = rows.select(F.col(key).alias("id"), F.col(label).alias("label"), year.alias("year"), F.when(place != "", place).alias("place"))
     base = base.where("id IS NOT NULL AND label IS NOT NULL AND label <> ''").distinct()
     lexicon = given_lexicon(base, "label")
-    people = materialize(base.withColumn("r", readings_udf(lexicon)("label")).where(F.size("r") > 0), "people")
+    people = materialize(with_known(base, "label", ["label"], lexicon).withColumn("r", readings_udf()("label", "known")).drop("known").where(F.size("r") > 0), "people")
     forms = materialize(people.select("id", "year", "place", F.explode(forms_udf()("r")).alias("f")).select("id", "year", "place", "f.form", "f.letter"), "forms")
     n = forms.select("id").distinct().count() or 1
     common = forms.groupBy("form").agg(F.count_distinct("id").alias("df"))
@@ -142,7 +186,7 @@ def person_links(rows: DataFrame, key: str, label: str, year: Column, place: Col
     names = people.groupBy("id").agg(F.flatten(F.collect_list("r")).alias("r"))
     full = met.join(names.select(F.col("id").alias("id_a"), F.col("r").alias("ra")), "id_a").join(names.select(F.col("id").alias("id_b"), F.col("r").alias("rb")), "id_b")
     links = materialize(
-        full.withColumn("m", match_udf(lexicon)("ra", "rb"))
+        full.withColumn("m", match_udf()("ra", "rb"))
         .where(F.col("m") > min_match)
         .select(F.col("id_a").alias("key_a"), F.col("id_b").alias("key_b"), F.round(F.col("m") * (1 - (F.col("df") - 1) / F.lit(n)), 6).alias("confidence")),
         "links",
@@ -153,7 +197,7 @@ def person_links(rows: DataFrame, key: str, label: str, year: Column, place: Col
     more = side("a").join(side("b"), "component").where((F.col("id_a") < F.col("id_b")) & agree & (F.col("year_a").eqNullSafe(F.col("year_b")) & F.col("year_a").isNotNull() | F.col("place_a").eqNullSafe(F.col("place_b")) & F.col("place_a").isNotNull()))
     more = more.select(F.col("id_a").alias("key_a"), F.col("id_b").alias("key_b")).distinct().join(links, ["key_a", "key_b"], "left_anti")
     more = more.join(names.select(F.col("id").alias("key_a"), F.col("r").alias("ra")), "key_a").join(names.select(F.col("id").alias("key_b"), F.col("r").alias("rb")), "key_b")
-    far = more.where(given_udf(lexicon)("ra", "rb")).select("key_a", "key_b", F.lit(min_match).alias("confidence"))
+    far = more.where(given_udf()("ra", "rb")).select("key_a", "key_b", F.lit(min_match).alias("confidence"))
     return links.unionByName(far)
 
 

@@ -186,6 +186,16 @@ def test_person_links_find_all_slips(spark):
     assert link(df.limit(0)).count() == 0
 
 
+def test_given_names_at_any_size(spark):
+    """What is a given name hangs neither on the size of the table nor on how often a misspelling occurs."""
+    fam = lambda n, k="": [f"{a}{b}{k}berg" for a in "bdfgklmnprst" for b in ("a", "e", "i", "o", "u", "au", "ei", "en", "om", "ul")][:n]
+    names = lambda times: [f"{g} {f.title()}" for g, n in (("Ludwig", 40), ("Renate", 12), ("Ludiwg", 4)) for k in range(times) for f in fam(n, "xyzvwqhjc"[k])]
+    for times in (1, 9):
+        rows = [(x,) for x in names(times)] + [(f"{g} Hallmeier",) for g in ("Renate", "Ludwig", "Ida", "Jan", "Tom", "Eva", "Pia")] + [(None,), ("",)]
+        got = {r["t"] for r in VA.given_lexicon(spark.createDataFrame(rows, "label string"), "label").collect()}
+        assert got == {"ludwig", "renate"}, times
+
+
 def test_role_classes(spark):
     same = ["Kuratorin, Institut für Moorforschung Grünbüttel", "Institut für Moorforschung Grünbüttel (Kuratorin)", "Kuratorin, Grünbüttel: Institut für Moorforschung", "KURATORIN, INSTITUT FÜR MOORFORSCHUNG GRÜNBÜTTEL",
             "Kur. IfMFG Grünbüttel", "Kuratorin (IfMFG, Grünbüttel)", "Kuratorin, Inst. f. Moor-Forschung Grünbüttel", "Kuratorin des/der Institut für Moorforschung Grünbüttel", "Kuratorin, Institut fuer Moorforschung Gruenbuettel"]
