@@ -37,13 +37,14 @@ def current_links(rows: DataFrame, node: Column, parent: Column, version: Column
     )
 
 
-def resolve(links: DataFrame, roots: DataFrame, keep_paths: bool = True, stride_doublings: int = 4) -> DataFrame:
+def resolve(links: DataFrame, roots: DataFrame, keep_paths: bool = True, stride_doublings: int = 4, below_cycles: bool = False) -> DataFrame:
     """(node, root, depth[, path]) for each node of ``links``.
 
     ``links`` has (node, parent), one row per node; ``roots`` has (node): these
     end a path whatever their own row says. Nodes on or below a cycle get depth
     -1, the smallest id of the cycle as root and a path of their own id alone.
-    ``path`` runs from the root down to the node.
+    ``path`` runs from the root down to the node. With ``below_cycles`` the path of
+    a node below a cycle begins with the member of the cycle it hangs on.
 
     Each frontier holds a band of ``2 ** stride_doublings`` levels: the edges are
     first joined with themselves so often that every node knows its ancestors up
@@ -99,9 +100,15 @@ def resolve(links: DataFrame, roots: DataFrame, keep_paths: bool = True, stride_
     for f in bands[1:]:
         reached = reached.unionByName(f)
     lost = materialize(edges.join(reached.select("node"), "node", "left_anti"), "unreached")
-    cyc = cycle_roots(lost).select("node", "root", F.lit(-1).cast("long").alias("depth"))
+    cyc = cycle_roots(lost)
+    hung = None
+    if keep_paths and below_cycles:
+        cyc = materialize(cyc, "cycles")
+        # without the cycles, what hangs below them is a forest whose roots their members are
+        hung = resolve(lost.join(cyc.where("on_cycle").select("node"), "node", "left_anti"), roots.limit(0), True, stride_doublings).select("node", "path")
+    cyc = cyc.select("node", "root", F.lit(-1).cast("long").alias("depth"))
     if keep_paths:
-        cyc = cyc.withColumn("path", F.array("node"))
+        cyc = cyc.withColumn("path", F.array("node")) if hung is None else cyc.join(hung, "node", "left").withColumn("path", F.coalesce("path", F.array("node")))
     return reached.select(*cols).unionByName(cyc.select(*cols))
 
 
@@ -128,10 +135,10 @@ def cycle_roots(lost: DataFrame) -> DataFrame:
 
 
 def ancestor_pairs(resolved: DataFrame) -> DataFrame:
-    """(ancestor, descendant, distance) for all nodes off cycles, out of their paths."""
+    """(ancestor, descendant, distance) out of the paths; nodes below cycles have pairs where they were resolved with ``below_cycles``."""
     return (
-        resolved.where("depth > 0")
-        .select(F.col("node").alias("descendant"), "depth", F.posexplode("path").alias("pos", "ancestor"))
-        .where("pos < depth")
-        .select("ancestor", "descendant", (F.col("depth") - F.col("pos")).cast("long").alias("distance"))
+        resolved.where(F.size("path") > 1)
+        .select(F.col("node").alias("descendant"), (F.size("path") - 1).alias("steps"), F.posexplode("path").alias("pos", "ancestor"))
+        .where("pos < steps")
+        .select("ancestor", "descendant", (F.col("steps") - F.col("pos")).cast("long").alias("distance"))
     )

@@ -29,7 +29,16 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p2_paths(spark: SparkSession, sf: str) -> DataFrame:
     """Full path of each class, from the root down, with the number of its descendants."""
-    res = materialize(H.resolve(*_links(spark, sf)), "resolved")
+    return _paths(H.resolve(*_links(spark, sf)))
+
+
+def p2_all_paths(spark: SparkSession, sf: str) -> DataFrame:
+    """As p2_paths, which its SQL cuts below cycles: the path of a class below a cycle begins with the cycle's member, and its descendants count."""
+    return _paths(H.resolve(*_links(spark, sf), below_cycles=True))
+
+
+def _paths(resolved: DataFrame) -> DataFrame:
+    res = materialize(resolved, "resolved")
     below = H.ancestor_pairs(res).groupBy(F.col("ancestor").alias("node")).agg(F.count("*").alias("n_descendants"))
     return res.join(below, "node", "left").select(
         F.col("node").alias("class_id"), F.concat_ws(">", "path").alias("class_path"), F.col("depth").alias("node_depth"),
@@ -42,6 +51,11 @@ def p2_descendants(spark: SparkSession, sf: str) -> DataFrame:
     return H.ancestor_pairs(H.resolve(*_links(spark, sf)))
 
 
+def p2_all_descendants(spark: SparkSession, sf: str) -> DataFrame:
+    """As p2_descendants, which its SQL cuts below cycles, with the classes that hang below a cycle."""
+    return H.ancestor_pairs(H.resolve(*_links(spark, sf), below_cycles=True))
+
+
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     """All snaks of all claims."""
     return N.snaks(table(spark, sf, "entity_store_jsonl"))
@@ -71,6 +85,8 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_paths": p2_paths,
     "p2_descendants": p2_descendants,
+    "p2_all_paths": p2_all_paths,
+    "p2_all_descendants": p2_all_descendants,
     "p3_found": p3_found,
     "p3_statements": p3_statements,
     "p3_qualifiers": p3_qualifiers,
@@ -139,4 +155,16 @@ FROM ends LEFT JOIN n ON n.ancestor = ends.start""",
 SELECT e.seen[i.i + 1] AS ancestor, e.start AS descendant, i.i::BIGINT AS distance
 FROM ends e, LATERAL (SELECT unnest(range(1, e.steps + 1)) AS i) i
 WHERE NOT e.looped AND e.steps > 0""",
+    "p2_all_paths": _WALK
+    + """
+, up AS (SELECT start, looped, steps, CASE WHEN looped THEN list_slice(seen, 1, list_position(seen, cur)) ELSE seen END AS way FROM ends),
+n AS (SELECT ancestor, count(*) AS n FROM (SELECT unnest(list_slice(way, 2, len(way))) AS ancestor FROM up) GROUP BY 1)
+SELECT start AS class_id, array_to_string(list_reverse(way), '>') AS class_path, CASE WHEN looped THEN -1 ELSE steps END::BIGINT AS node_depth,
+       coalesce(n.n, 0)::BIGINT AS n_descendants
+FROM up LEFT JOIN n ON n.ancestor = up.start""",
+    "p2_all_descendants": _WALK
+    + """
+, up AS (SELECT start, CASE WHEN looped THEN list_slice(seen, 1, list_position(seen, cur)) ELSE seen END AS way FROM ends)
+SELECT way[i.i + 1] AS ancestor, start AS descendant, i.i::BIGINT AS distance
+FROM up, LATERAL (SELECT unnest(range(1, len(way))) AS i) i""",
 }

@@ -52,3 +52,13 @@ def test_empty_null_ties_and_clashing_columns(spark, rows):
     links = H.current_links(raw, H.q_number(F.col("class_id")), H.q_number(F.col("up")), F.col("t"))
     assert rows(links) == [("Q7", "Q3"), ("Q8", None)]
     assert rows(H.resolve(links, spark.createDataFrame([], R), keep_paths=False)) == [("Q7", "Q3", 1), ("Q8", "Q8", 0)]
+
+
+def test_subtrees_below_cycles(spark, rows):
+    """a <-> b is a cycle; c hangs below b, d and e below c; x is a self-loop with y below it."""
+    links = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "b"), ("d", "c"), ("e", "d"), ("x", "x"), ("y", "x"), ("r", None), ("s", "r")], L)
+    res = H.resolve(links, spark.createDataFrame([], R), stride_doublings=2, below_cycles=True)
+    assert {r["node"]: (r["depth"], "".join(r["path"])) for r in res.collect()} == {
+        "a": (-1, "a"), "b": (-1, "b"), "c": (-1, "bc"), "d": (-1, "bcd"), "e": (-1, "bcde"), "x": (-1, "x"), "y": (-1, "xy"), "r": (0, "r"), "s": (1, "rs")
+    }
+    assert rows(H.ancestor_pairs(res)) == [("b", "c", 1), ("b", "d", 2), ("b", "e", 3), ("c", "d", 1), ("c", "e", 2), ("d", "e", 1), ("r", "s", 1), ("x", "y", 1)]
