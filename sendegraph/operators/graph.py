@@ -32,8 +32,8 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         labels = nxt.select("node", "component")
 
 
-def closure(edges: DataFrame, child: str, parent: str, max_depth: int) -> DataFrame:
-    """(node, ancestor, depth): least depth at which each ancestor is reached, up to ``max_depth``; cycles end by themselves.
+def closure(edges: DataFrame, child: str, parent: str, max_depth: int | None = None) -> DataFrame:
+    """(node, ancestor, depth): least depth at which each ancestor is reached, up to ``max_depth`` if given; cycles end by themselves.
 
     Nodes may have several parents. Each level joins the new pairs with the edges
     and drops those already known.
@@ -41,7 +41,9 @@ def closure(edges: DataFrame, child: str, parent: str, max_depth: int) -> DataFr
     e = materialize(edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("c IS NOT NULL AND p IS NOT NULL").distinct(), "edges")
     new = e.select(F.col("c").alias("node"), F.col("p").alias("ancestor"), F.lit(1).cast("long").alias("depth"))
     known = new
-    for d in range(2, max_depth + 1):
+    d = 1
+    while max_depth is None or d < max_depth:
+        d += 1
         step = new.join(e, F.col("ancestor") == F.col("c")).select("node", F.col("p").alias("ancestor")).distinct()
         new = materialize(step.join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(d).cast("long")), "level")
         if new.isEmpty():

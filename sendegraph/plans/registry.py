@@ -704,6 +704,17 @@ def propagated_counts(spark, sf):
     return graph.propagated_counts(graph.closure(e, "c", "p", 5), e.groupBy(F.col("p").alias("node")).agg(F.count("*").alias("n")))
 
 
+@query(_EDGE + """
+, w AS (SELECT c AS node, p AS ancestor FROM e UNION SELECT w.node, e.p FROM w JOIN e ON e.c = w.ancestor),
+d AS (SELECT p AS node, count(*) AS n FROM e GROUP BY 1),
+u AS (SELECT w.ancestor AS node, sum(d.n) AS below FROM w JOIN d USING (node) GROUP BY 1)
+SELECT node, coalesce(d.n, 0)::BIGINT AS n_direct, (coalesce(d.n, 0) + coalesce(u.below, 0))::BIGINT AS n_total FROM d FULL JOIN u USING (node)""")
+def propagated_counts_all(spark, sf):
+    """As propagated_counts, which its SQL cuts at five levels, over all descendants."""
+    e = _edges(spark, sf)
+    return graph.propagated_counts(graph.closure(e, "c", "p"), e.groupBy(F.col("p").alias("node")).agg(F.count("*").alias("n")))
+
+
 @query(_EDGE + """
 , b AS (SELECT c AS x, p AS y FROM e UNION SELECT p, c FROM e),
 w AS (SELECT class_id AS node, 0 AS hop FROM core_classes UNION SELECT b.y, w.hop + 1 FROM w JOIN b ON b.x = w.node WHERE w.hop < 3)
@@ -726,6 +737,14 @@ def loop_members(spark, sf):
     return graph.closure(_edges(spark, sf), "c", "p", 12).where("node = ancestor").select("node").distinct()
 
 
+@query(_EDGE + """
+, w AS (SELECT c AS node, p AS ancestor FROM e UNION SELECT w.node, e.p FROM w JOIN e ON e.c = w.ancestor)
+SELECT DISTINCT node FROM w WHERE node = ancestor""")
+def loop_members_all(spark, sf):
+    """As loop_members, which its SQL cuts at loops of twelve, on loops of any length."""
+    return graph.closure(_edges(spark, sf), "c", "p").where("node = ancestor").select("node").distinct()
+
+
 @query(_EDGE + """
 , n AS (SELECT c AS id FROM e UNION SELECT p FROM e), ch AS (SELECT DISTINCT p AS id FROM e), pa AS (SELECT DISTINCT c AS id FROM e)
 SELECT id, CASE WHEN id NOT IN (SELECT id FROM pa) THEN 'top' WHEN id IN (SELECT id FROM ch) THEN 'mid' ELSE 'first' END AS level FROM n""")

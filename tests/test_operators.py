@@ -163,3 +163,10 @@ def test_ordinal_of_hot_null_and_empty_groups(spark):
     got = {(r["g"], r["v"]): r["ordinal"] for r in reshape.ordinal(df, ["g"], ["v"]).collect()}
     want = {(g, v): sum(h == g and w < v for h, w in rows_) for g, v in rows_}
     assert got == want and reshape.ordinal(df.limit(0), ["g"], ["v"]).count() == 0
+
+
+def test_closure_runs_to_the_end(spark):
+    """A loop of 13 is longer than either depth limit: each member reaches all, itself too."""
+    e = spark.createDataFrame([(f"n{i:02d}", f"n{(i + 1) % 13:02d}") for i in range(13)], "c string, p string").coalesce(1)
+    got = graph.closure(e, "c", "p").collect()
+    assert len(got) == 169 and {r["depth"] for r in got if r["node"] == r["ancestor"]} == {13}
