@@ -58,8 +58,10 @@ def ordinal(df: DataFrame, group: list[str], order: list, name: str = "ordinal")
     return inner.join(base, same).select(*df.columns, (F.col("_b") + F.col("_i") - 1).cast("long").alias(name))
 
 
-def wide(df: DataFrame, key: str, ordinal_col: str, fields: list[str], width: int) -> DataFrame:
-    """Long to wide: ``field_i`` for the ordinals below ``width``; the list of ordinals is fixed, so nothing is scanned for it."""
+def wide(df: DataFrame, key: str, ordinal_col: str, fields: list[str], width: int | None = None) -> DataFrame:
+    """Long to wide: ``field_i`` for the ordinals below ``width``; without one, for all there are, at least one, by one aggregate."""
+    if width is None:
+        width = int(df.agg(F.coalesce(F.max(ordinal_col), F.lit(0))).first()[0]) + 1
     return df.groupBy(key).agg(*[F.max(F.when(F.col(ordinal_col) == i, F.col(f))).alias(f"{f}_{i}") for i in range(width) for f in fields])
 
 

@@ -387,6 +387,12 @@ def wide_ordinals(spark, sf):
     return reshape.wide(reshape.ordinal(guests(spark, sf), ["episode"], ["guest"]), "episode", "ordinal", ["guest"], 4)
 
 
+@query(None)
+def wide_ordinals_all(spark, sf):
+    """As wide_ordinals, which its SQL cuts at four guests, with as many columns as the fullest episode has guests."""
+    return reshape.wide(materialize(reshape.ordinal(guests(spark, sf), ["episode"], ["guest"]), "ordinals"), "episode", "ordinal", ["guest"])
+
+
 @query("""
 WITH d AS (SELECT DISTINCT alignment_unit_id AS unit, label_wikidata, label_fernsehserien_de, label_zdf FROM aligned),
 l AS (SELECT unit, 'label_wikidata' AS field, label_wikidata AS value FROM d UNION ALL SELECT unit, 'label_fernsehserien_de', label_fernsehserien_de FROM d UNION ALL SELECT unit, 'label_zdf', label_zdf FROM d)

@@ -170,3 +170,9 @@ def test_closure_runs_to_the_end(spark):
     e = spark.createDataFrame([(f"n{i:02d}", f"n{(i + 1) % 13:02d}") for i in range(13)], "c string, p string").coalesce(1)
     got = graph.closure(e, "c", "p").collect()
     assert len(got) == 169 and {r["depth"] for r in got if r["node"] == r["ancestor"]} == {13}
+
+
+def test_wide_takes_its_width_from_the_data(spark, rows):
+    d = spark.createDataFrame([("e", i, f"g{i}") for i in range(6)] + [("f", 0, "h")], "k string, o long, guest string").coalesce(1)
+    assert rows(reshape.wide(d, "k", "o", ["guest"])) == [("e", *[f"g{i}" for i in range(6)]), ("f", "h", *[None] * 5)]
+    assert reshape.wide(d.limit(0), "k", "o", ["guest"]).columns == ["k", "guest_0"]
