@@ -1,17 +1,21 @@
 """Several values packed in one field, by minimum description length.
 
 A dialect is a way to read a packed field: a delimiter, alone or with a word
-before the last value, with or without quotes, or a JSON list. Each field is
-parsed by every dialect that applies to it; a parse costs the bits of its values
-plus those of the dialect, and the cheapest is taken. A value may itself hold the
-delimiter: within a dialect, up to ``MAX_GLUE`` neighbouring pieces may be one
-value, and the cheapest such segmentation counts.
+before the last value, or a JSON list, and a mode: plain, with quotes, with
+escapes, or both. Each field is parsed by every dialect that applies to it; a
+parse costs the bits of its values plus those of the dialect, and the cheapest is
+taken. A value may itself hold the delimiter: within a dialect neighbouring
+pieces may be one value where that value also stands as a piece of its own in a
+reading of another field (or in the codebook), and the cheapest segmentation
+counts. How many pieces may be glued is thus found in the table.
 
 The bits of a value come from counts over all fields of the table: a value that
 is used c times out of C costs log2(C / c), plus its spelling (``CHAR_BITS`` for
-each character) shared among its c uses. First the single pieces of all parses of
-a field count in equal parts, then only the chosen values; a codebook of known
-values, where there is one, adds ``codebook_weight`` uses to each of them.
+each character) shared among its c uses. The bits of a dialect are those of its
+delimiter and those of its mode among the modes that read the field differently:
+fields without a quote tell nothing about quoting. First the single pieces of all
+parses of a field count in equal parts, then only the chosen values, until the
+description of the table gets no shorter.
 
 Work is done once for each distinct packed text, so copies - also one text that
 fills a third of the table - cost nothing further.
@@ -29,7 +33,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
@@ -39,7 +43,7 @@ from ..session import materialize
 DELIMITERS = ["|", ";", "；", "\n", "\t", "•", ",", "/", "&"]
 LAST_WORDS = ["und", "sowie", "u.", "oder", "and"]
 CHAR_BITS = 6.0
-MAX_GLUE = 4
+PRIVATE_USE = [(0xE000, 0xF900), (0xF0000, 0xFFFFE), (0x100000, 0x10FFFE)]  # code points of no character, by the standard
 BLANKS = " \t\r\n ​‌﻿"
 
 
@@ -81,96 +85,107 @@ def split_quoted(text: str, delimiter: str) -> list[str]:
         i = e + 1
 
 
-def runs(pieces: list[str], delimiter: str | None, fixed: list[bool] | None = None) -> list[tuple[int, int, str]]:
-    """(from, to, value): each piece, and each run of neighbouring pieces glued with the delimiter; blank pieces left out."""
+def runs(pieces: list[str], delimiter: str | None, fixed: list[bool] | None = None, glue: int = 1) -> list[tuple[int, int, str]]:
+    """(from, to, value): each piece, and each run of up to ``glue`` neighbouring pieces joined by the delimiter; blank pieces left out."""
     out, clean, n = [], [p.strip(BLANKS) for p in pieces], 0
     for i, v in enumerate(clean):
         if not v:
             continue
         out.append((n, n + 1, v))
         if delimiter is not None and not (fixed and fixed[i]):
-            for g in range(2, MAX_GLUE + 1):
-                j = i + g
-                if j > len(pieces) or not clean[j - 1] or (fixed and fixed[j - 1]):
+            for j in range(i + 2, min(i + glue, len(pieces)) + 1):
+                if not clean[j - 1] or (fixed and fixed[j - 1]):
                     break
-                out.append((n, n + g, delimiter.join(pieces[i:j]).strip(BLANKS)))
+                out.append((n, n + j - i, delimiter.join(pieces[i:j]).strip(BLANKS)))
         n += 1
     return out
 
 
-def parses(text: str | None) -> list[tuple[str, list[tuple[int, int, str]]]]:
-    """The distinct parses of a packed text: (dialect, runs), dialects in order."""
+def hide_escapes(text: str) -> tuple[str, dict[int, str]]:
+    """The text with each escaped character as a private one that the text does not hold, and what the private ones stand for."""
+    taken, marks = set(text), {}
+    free = (chr(x) for lo, hi in PRIVATE_USE for x in range(lo, hi) if chr(x) not in taken)
+
+    def hide(m: re.Match) -> str:
+        c = m.group(1)
+        if c not in marks:
+            marks[c] = next(free)
+        return marks[c]
+
+    return re.sub(r"\\(.)", hide, text, flags=re.S), {ord(v): k for k, v in marks.items()}
+
+
+def parses(text: str | None, glue: dict[str, int] | None = None) -> list[tuple[str, str, list[tuple[int, int, str]]]]:
+    """The distinct parses of a packed text: (delimiter, mode, runs), in order; ``glue`` is how many pieces may be one value, by delimiter."""
     if text is None or not any(c.isalnum() for c in text):
         return []
-    found: list[tuple[str, list[tuple[int, int, str]]]] = []
+    glue = glue or {}
+    found: list[tuple[str, str, list[tuple[int, int, str]]]] = []
     seen = set()
 
-    def add(name: str, got: list[tuple[int, int, str]]) -> None:
+    def add(name: str, mode: str, got: list[tuple[int, int, str]]) -> None:
         key = tuple(got)
         if got and key not in seen:
             seen.add(key)
-            found.append((name, got))
+            found.append((name, mode, got))
 
     if text.lstrip(BLANKS).startswith("["):
         try:
             got = json.loads(text)
             if isinstance(got, list):
-                add("json", runs([x for x in got if isinstance(x, str)], None))
+                add("json", "plain", runs([x for x in got if isinstance(x, str)], None))
         except ValueError:
             pass
-    hidden: dict[str, str] = {}
 
-    def show(got: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-        return [(i, j, re.sub("[\ue000-\uf8ff]", lambda m: hidden.get(m.group(), m.group()), v)) for i, j, v in got] if hidden else got
-
-    def read(t: str, mark: str) -> None:
+    def read(t: str, escaped: bool, hidden: dict[int, str]) -> None:
         quotes = '"' in t
-        add("single" + mark, show(runs([t], None)))
+        plain, quoted = ("escaped", "quoted escaped") if escaped else ("plain", "quoted")
+        put = lambda name, mode, got: add(name, mode, [(i, j, v.translate(hidden)) for i, j, v in got] if hidden else got)
+        put("single", plain, runs([t], None))
         if quotes:
-            add(f"single quoted{mark}", show(runs(split_quoted(t, "\0"), None)))
+            put("single", quoted, runs(split_quoted(t, "\0"), None))
         for d in DELIMITERS:
             if d in t:
-                add(d + mark, show(runs(t.split(d), d)))
+                cut = t.split(d)
+                put(d, plain, runs(cut, d, None, glue.get(d, 1)))
                 if quotes:
-                    pieces = split_quoted(t, d)
-                    add(f"{d} quoted{mark}", show(runs(pieces, d, [p not in t.split(d) for p in pieces])))
+                    pieces, bare = split_quoted(t, d), set(cut)
+                    put(d, quoted, runs(pieces, d, [p not in bare for p in pieces], glue.get(d, 1)))
         for w in LAST_WORDS:
+            if w not in t:
+                continue
             parts = re.split(rf"\s{re.escape(w)}\s", t)
             if len(parts) == 1:
                 continue
-            add(w + mark, show(runs(parts, f" {w} ")))
+            put(w, plain, runs(parts, f" {w} ", None, glue.get(w, 1)))
             if quotes:
-                add(f"{w} quoted{mark}", show(runs([x for p in parts for x in split_quoted(p, "\0")], None)))
+                put(w, quoted, runs([x for p in parts for x in split_quoted(p, "\0")], None))
             for k in range(1, len(parts)):
                 front, tail = f" {w} ".join(parts[:k]), f" {w} ".join(parts[k:])
-                for name, pieces, last in ((f", {w}", front.split(","), [tail]), (f", {w} quoted", split_quoted(front, ","), split_quoted(tail, "\0"))):
-                    if "quoted" in name and not quotes:
-                        continue
-                    got = runs(pieces, ",")
+                both = [(plain, front.split(","), [tail])] + ([(quoted, split_quoted(front, ","), split_quoted(tail, "\0"))] if quotes else [])
+                for mode, pieces, last in both:
+                    got = runs(pieces, ",", None, glue.get(",", 1))
                     n = max((j for _, j, _ in got), default=0)
-                    add(name + mark, show(got + [(n + i, n + j, v) for i, j, v in runs(last, None)]))
+                    put(f", {w}", mode, got + [(n + i, n + j, v) for i, j, v in runs(last, None)])
 
-    read(text, "")
+    read(text, False, {})
     if "\\" in text:
-
-        def hide(m: re.Match) -> str:
-            c = chr(0xE000 + ord(m.group(1)) % 0x1900)
-            hidden[c] = m.group(1)
-            return c
-
-        read(re.sub(r"\\(.)", hide, text, flags=re.S), " escaped")
+        read(*(lambda t, h: (t, True, h))(*hide_escapes(text)))
     return found
 
 
-def parses_udf():
-    """The vectorised :func:`parses`."""
+def parses_udf(glue: dict[str, int] | None = None):
+    """The vectorised :func:`parses`; ``modes`` are those that read the text differently."""
 
-    @pandas_udf("array<struct<dialect:string,runs:array<struct<i:int,j:int,v:string>>>>")
+    @pandas_udf("array<struct<dialect:string,mode:string,modes:string,runs:array<struct<i:int,j:int,v:string>>>>")
     def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        def one(t: str | None) -> list[dict]:
+            got = parses(t, glue)
+            modes = " or ".join(sorted({m for _, m, _ in got}))
+            return [{"dialect": d, "mode": m, "modes": modes, "runs": [{"i": i, "j": j, "v": v} for i, j, v in r]} for d, m, r in got]
+
         for texts in it:
-            yield pd.Series(
-                [[{"dialect": d, "runs": [{"i": i, "j": j, "v": v} for i, j, v in r]} for d, r in parses(t)] for t in texts], dtype=object
-            )
+            yield pd.Series([one(t) for t in texts], dtype=object)
 
     return run
 
@@ -196,20 +211,20 @@ def segment_udf():
     return run
 
 
-def _chosen(cands: DataFrame, codes: DataFrame, dialects: DataFrame) -> DataFrame:
-    """(field, packed, dialect, vals, n): the cheapest parse of each packed text."""
+def _chosen(cands: DataFrame, codes: DataFrame, dialects: DataFrame, modes: DataFrame) -> DataFrame:
+    """(text, dialect, mode, modes, vals, n, bits): the cheapest parse of each packed text. Dialects and modes are a few rows."""
+    cut = (
+        cands.select("text", "k", F.explode("runs").alias("r")).select("text", "k", "r.i", "r.j", "r.v").join(codes, "v")
+        .groupBy("text", "k").agg(F.collect_list(F.struct("i", "j", "v", "bits")).alias("rs")).select("text", "k", segment_udf()("rs").alias("s"))
+    )
+    full = F.round(F.col("s.bits") + F.col("dialect_bits") + F.col("mode_bits"), 6)
     return (
-        cands.select("field", "packed", "n", "dialect", "k", F.explode("runs").alias("r"))
-        .select("field", "packed", "n", "dialect", "k", "r.i", "r.j", "r.v")
-        .join(codes, "v")
-        .groupBy("field", "packed", "n", "dialect", "k")
-        .agg(F.collect_list(F.struct("i", "j", "v", "bits")).alias("rs"))
-        .withColumn("s", segment_udf()("rs"))
+        cut.join(cands.select("text", "k", "n", "dialect", "mode", "modes"), ["text", "k"])
         .join(dialects, "dialect")
-        .select("field", "packed", F.struct(F.round(F.col("s.bits") + F.col("dialect_bits"), 6).alias("b"), F.size("s.vals").alias("l"), "k", "dialect", "s.vals", "n").alias("s"))
-        .groupBy("field", "packed")
-        .agg(F.min("s").alias("s"))
-        .select("field", "packed", "s.dialect", "s.vals", "s.n")
+        .join(modes, ["modes", "mode"])
+        .groupBy("text")
+        .agg(F.min(F.struct(full.alias("bits"), F.size("s.vals").alias("l"), "k", "dialect", "mode", "modes", "s.vals", "n")).alias("s"))
+        .select("text", "s.dialect", "s.mode", "s.modes", "s.vals", "s.n", "s.bits")
     )
 
 
@@ -225,36 +240,59 @@ def _codes(weighted: DataFrame, values: DataFrame, codebook: DataFrame | None, c
     return w.crossJoin(F.broadcast(total)).select("v", (F.log2((F.col("total") + 1) / c) + spelling / F.greatest(c, F.lit(1.0))).alias("bits"))
 
 
-def split_packed(rows: DataFrame, key: str, fields: list[str], codebook: DataFrame | None = None, codebook_weight: float = 5.0, rounds: int = 2) -> DataFrame:
+def _choice_bits(cands: DataFrame, uses: DataFrame, given: list[str], choice: str, name: str) -> DataFrame:
+    """(*given, choice, name): the bits of a choice by its share of the uses; a few rows."""
+    d = cands.select(*given, choice).distinct().join(uses.groupBy(*given, choice).agg(F.sum("w").alias("w")), [*given, choice], "left")
+    total = Window.partitionBy(*given) if given else Window.partitionBy(F.lit(0))
+    return d.select(*given, choice, (-F.log2((F.coalesce("w", F.lit(0.0)) + 0.5) / (F.sum(F.coalesce("w", F.lit(0.0))).over(total) + 0.5))).alias(name))
+
+
+def _glue(pieces: DataFrame, codebook: DataFrame | None) -> dict[str, int]:
+    """How many pieces the longest value holds that stands on its own in two fields or more, by delimiter; one row comes to the driver."""
+    own = pieces.where("seen_low <> seen_high").select("v")
+    own = own if codebook is None else own.unionByName(codebook.select("v"))
+    marks = [*DELIMITERS, *LAST_WORDS]
+    text = lambda m: m if m in DELIMITERS else f" {m} "
+    most = own.agg(*[F.max((F.length("v") - F.length(F.replace("v", F.lit(text(m)), F.lit("")))) / len(text(m))).alias(f"m{i}") for i, m in enumerate(marks)]).first()
+    return {m: int(most[i] or 0) + 1 for i, m in enumerate(marks)}
+
+
+def split_packed(rows: DataFrame, key: str, fields: list[str], codebook: DataFrame | None = None, codebook_weight: float = 5.0) -> DataFrame:
     """(key, field_name, value_pos, value_text): one row for each value of each field of each key.
 
     ``codebook`` has (v). The crossJoins are with totals of one row.
     """
     long = rows.select(F.col(key).alias("key"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("packed")) for f in fields])).alias("x")).select("key", "x.field", "x.packed")
     long = long.where(F.col("key").isNotNull() & F.col("packed").isNotNull()).distinct()
-    cands = materialize(
-        long.groupBy("field", "packed").agg(F.count("*").alias("n"))
-        .withColumn("p", parses_udf()("packed"))
-        .withColumn("parts", F.size("p"))
-        .select("field", "packed", "n", "parts", F.posexplode("p").alias("k", "c"))
-        .select("field", "packed", "n", "parts", "k", "c.dialect", "c.runs"),
-        "parses",
-    )
-    values = cands.select(F.explode("runs.v").alias("v")).distinct()
-    single = F.transform(F.filter("runs", lambda r: r.j - r.i == 1), lambda r: r.v)
-    uses = cands.select("dialect", single.alias("vals"), (F.col("n") / F.col("parts")).alias("w"))
-    best = None
-    for _ in range(rounds):
+    texts = materialize(long.groupBy("field", "packed").agg(F.count("*").alias("n")).withColumn("text", F.monotonically_increasing_id()), "packed")
+
+    def read(glue: dict[str, int] | None) -> DataFrame:
+        return (
+            texts.withColumn("p", parses_udf(glue)("packed")).withColumn("parts", F.size("p"))
+            .select("text", "n", "parts", F.posexplode("p").alias("k", "c"))
+            .select("text", "n", "parts", "k", "c.dialect", "c.mode", "c.modes", "c.runs")
+        )
+
+    cands = materialize(read(None), "parses")
+    uses = cands.select("text", "dialect", "mode", "modes", F.col("runs.v").alias("vals"), (F.col("n") / F.col("parts")).alias("w"))
+    pieces = uses.select(F.explode("vals").alias("v"), "w", "text").groupBy("v").agg(F.sum("w").alias("w"), F.min("text").alias("seen_low"), F.max("text").alias("seen_high"))
+    pieces = materialize(pieces, "pieces")
+    glue = _glue(pieces, codebook)
+    if max(glue.values()) > 1:
+        cands = materialize(read(glue), "parses")
+    weighted, best, before = pieces.select("v", "w"), None, None
+    while True:
+        codes = _codes(weighted, pieces.select("v"), codebook, codebook_weight)
+        now = materialize(_chosen(cands, codes, _choice_bits(cands, uses, [], "dialect", "dialect_bits"), _choice_bits(cands, uses, ["modes"], "mode", "mode_bits")), "chosen")
+        bits = now.agg(F.coalesce(F.sum(F.col("bits") * F.col("n")), F.lit(0.0))).first()[0]
+        if before is not None and bits >= 0.999 * before:
+            best = now if bits < before else best
+            break
+        best, before = now, bits
+        uses = best.select("dialect", "mode", "modes", "vals", F.col("n").cast("double").alias("w"))
         weighted = uses.select(F.explode("vals").alias("v"), "w").groupBy("v").agg(F.sum("w").alias("w"))
-        codes = _codes(weighted, values, codebook, codebook_weight)
-        d = uses.groupBy("dialect").agg(F.sum("w").alias("w"))
-        d = cands.select("dialect").distinct().join(d, "dialect", "left")
-        total = d.agg(F.sum("w").alias("t"))
-        dialects = d.crossJoin(F.broadcast(total)).select("dialect", (-F.log2((F.coalesce("w", F.lit(0.0)) + 0.5) / (F.col("t") + 0.5))).alias("dialect_bits"))
-        best = materialize(_chosen(cands, codes, dialects), "chosen")
-        uses = best.select("dialect", "vals", F.col("n").cast("double").alias("w"))
     return (
-        long.join(best.select("field", "packed", "vals"), ["field", "packed"])
+        long.join(texts.join(best.select("text", "vals"), "text").select("field", "packed", "vals"), ["field", "packed"])
         .select(F.col("key").alias(key), F.col("field").alias("field_name"), F.posexplode("vals").alias("pos", "value_text"))
         .select(key, "field_name", (F.col("pos") + 1).cast("long").alias("value_pos"), "value_text")
     )

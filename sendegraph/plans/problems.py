@@ -76,9 +76,7 @@ p3_reference_snaks = _claim_table("*[].references[].snaks.*[]")
 
 def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     """One row for each value in the packed fields of persons."""
-    labels = table(spark, sf, "value_labels")
-    book = labels.select(F.col("label").alias("v")).union(labels.select("qid"))
-    return P.split_packed(table(spark, sf, "dedup_persons"), "canonical_entity_id", PACKED_FIELDS, book)
+    return P.split_packed(table(spark, sf, "dedup_persons"), "canonical_entity_id", PACKED_FIELDS)
 
 
 QUERIES = {
