@@ -8,14 +8,18 @@ and town); known attributes that differ rule a pair out. What one source says
 twice is first made one entity of that source; among the entities of two sources
 a one-to-one assignment of the greatest total confidence is taken, and all units
 of two assigned entities are pairs. The first source, which tells most of its
-entities, is assigned first; entities of the other two that went to the same one
-belong together, to different ones do not.
+entities, is assigned first. What it says of the entities of the other two is
+evidence on their pairs: a common partner adds its confidence to that of the pair
+as an independent witness (1 - (1 - c)(1 - d)), different partners rule it out.
 
 The window slides over blocks of the sorted order, cut at global positions: a
 block of many equal keys is no larger than any other, so a key that a third of
 the units share is spread like the rest, and within it the later parts of the key
 bring like with like.
 
+Bodies are read as kind, theme and town where they are named so; of any other
+name the tokens without legal forms, in order of the alphabet, are its theme.
+
 Occupations are grouped into classes by the rows that were matched by hand: the
 words that describe one person in two sources mean the same.
 
@@ -36,6 +40,7 @@ from pyspark.sql.functions import pandas_udf
 from ..operators.graph import connected_components
 from ..session import materialize
 from . import names as N
+from .assignment import assign
 from .variants import READINGS, given_lexicon, known_of, with_known
 
 SOURCES = ["wikidata", "fernsehserien_de", "zdf"]
@@ -102,7 +107,9 @@ def features_udf():
                 for a in (al or "").split("|"):
                     if not b["theme"] and a:
                         b = {**N.body(a), "town": b["town"]}
-                out.append(([], None, None, None, town or b["town"] or None, b["kind"] or kind, b["theme"] or theme))
+                if not b["theme"] and not b["acronym"] and not theme:
+                    b = {**b, "town": "", "kind": "", "theme": N.residual(lab)}
+                out.append(([], None, None, None, town or b["town"] or None, b["kind"] or kind, b["theme"] or theme or None))
         return pd.DataFrame(out, columns=["r", "occ", "ylo", "yhi", "town", "kind", "theme"])
 
     return run
@@ -126,6 +133,7 @@ def keys_udf():
                 g = min(N.given_forms(x["given"]), key=lambda s: (-len(s), s)) if x["given"] else ""
                 for f in x["family"]:
                     got.add((0, f"{f} {g[:1]} {o} {y}"))
+                    got.add((8, f"{f} {g} {t} {y}"))
                     got.add((1, f"{f[::-1]} {g[:1]} {o} {y}"))
                     got.add((2, f"{''.join(sorted(f))} {g[:1]} {o}"))
                     if o and (y or t):
@@ -194,12 +202,13 @@ def confidence_udf():
         out = []
         for xa, xb, k1, k2, t1, t2, o, y, t, e in zip(ra, rb, ka, kb, ta, tb, occ, year, town, scene):
             if k1 or t1 or k2 or t2:
-                if not (t1 and t2) or (k1 and k2 and k1 != k2) or not t > 0:
+                free = bool(t1 and t2) and t1[:1] == t2[:1] == N.RESIDUAL
+                if not (t1 and t2) or (k1 and k2 and k1 != k2) or not (t > 0 or free):
                     out.append(0.0)
                     continue
                 d = N.edits(t1, t2, 2)
                 m = 1.0 if d == 0 else 0.9 if d == 1 and min(len(t1), len(t2)) > 4 else 0.8 if d == 2 and min(len(t1), len(t2)) > 8 else 0.0
-                out.append(m * (1.0 if k1 and k2 else 0.8))
+                out.append(m * (1.0 if k1 and k2 else 0.8) * (1.0 if t > 0 else 0.8))
                 continue
             a = [(r["given"], tuple(r["family"])) for r in xa]
             b = [(r["given"], tuple(r["family"])) for r in xb]
@@ -214,81 +223,6 @@ def confidence_udf():
     return run
 
 
-def assign(pairs: DataFrame, max_exact: int = 300) -> DataFrame:
-    """(a, b, side, confidence): in each ``side`` a one-to-one choice among the pairs with the greatest total confidence.
-
-    Lone pairs are taken at once. Components of up to ``max_exact`` pairs are
-    solved exactly (Hungarian method); in larger ones the pairs that are best for
-    both ends are taken, round by round, which is exact on them unless three or
-    more confidences conspire, and needs no task to hold the component.
-    """
-    pairs = materialize(pairs.select("a", "b", "side", "confidence"), "scored")
-    da = pairs.groupBy("side", "a").agg(F.count("*").alias("na"))
-    db = pairs.groupBy("side", "b").agg(F.count("*").alias("nb"))
-    deg = materialize(pairs.join(da, ["side", "a"]).join(db, ["side", "b"]), "degrees")
-    lone = deg.where("na = 1 AND nb = 1").select("a", "b", "side", "confidence")
-    rest = deg.where("na > 1 OR nb > 1").select("a", "b", "side", "confidence")
-    end = lambda c: F.concat_ws("\u0001", "side", F.lit(c), c)
-    comp = connected_components(rest.select(end("a").alias("x"), end("b").alias("y")), "x", "y")
-    rest = materialize(rest.withColumn("x", end("a")).join(comp, F.col("x") == F.col("node")).select("a", "b", "side", "confidence", "component"), "tangled")
-    size = rest.groupBy("component").agg(F.count("*").alias("size"))
-    rest = rest.join(size, "component")
-
-    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = sorted(set(pdf["a"])), sorted(set(pdf["b"]))
-        best = _hungarian({(r.a, r.b): r.confidence for r in pdf.itertuples()}, a, b)
-        keep = [(r.a, r.b) in best for r in pdf.itertuples()]
-        return pdf.loc[keep, ["a", "b", "side", "confidence"]]
-
-    exact = rest.where(F.col("size") <= max_exact).groupBy("component").applyInPandas(solve, "a string, b string, side string, confidence double")
-    out = lone.unionByName(exact)
-    left = materialize(rest.where(F.col("size") > max_exact).select("a", "b", "side", "confidence"), "huge")
-    while not left.isEmpty():
-        rank = F.struct(F.col("confidence"), F.col("a"), F.col("b"))
-        ta = left.groupBy("side", "a").agg(F.max(rank).alias("ba"))
-        tb = left.groupBy("side", "b").agg(F.max(rank).alias("bb"))
-        won = left.join(ta, ["side", "a"]).join(tb, ["side", "b"]).where((rank == F.col("ba")) & (rank == F.col("bb"))).select("a", "b", "side", "confidence")
-        won = materialize(won, "won")
-        out = out.unionByName(won)
-        left = materialize(left.join(won.select("side", "a"), ["side", "a"], "left_anti").join(won.select("side", "b"), ["side", "b"], "left_anti"), "left")
-    return out
-
-
-def _hungarian(weight: dict, rows: list, cols: list) -> set:
-    """The pairs of the assignment with the greatest total weight; absent pairs weigh nothing and are not returned."""
-    if len(rows) > len(cols):
-        return {(a, b) for b, a in _hungarian({(b, a): w for (a, b), w in weight.items()}, cols, rows)}
-    n, m = len(rows), len(cols)
-    cost = [[-weight.get((r, c), 0.0) for c in cols] for r in rows]
-    u, v, p, way = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1), [0] * (m + 1)
-    for i in range(1, n + 1):
-        p[0], j0 = i, 0
-        minv, used = [float("inf")] * (m + 1), [False] * (m + 1)
-        while True:
-            used[j0] = True
-            i0, delta, j1 = p[j0], float("inf"), 0
-            for j in range(1, m + 1):
-                if not used[j]:
-                    cur = cost[i0 - 1][j - 1] - u[i0] - v[j]
-                    if cur < minv[j]:
-                        minv[j], way[j] = cur, j0
-                    if minv[j] < delta:
-                        delta, j1 = minv[j], j
-            for j in range(m + 1):
-                if used[j]:
-                    u[p[j]] += delta
-                    v[j] -= delta
-                else:
-                    minv[j] -= delta
-            j0 = j1
-            if p[j0] == 0:
-                break
-        while j0:
-            p[j0] = p[way[j0]]
-            j0 = way[j0]
-    return {(rows[p[j] - 1], cols[j - 1]) for j in range(1, m + 1) if p[j] and (rows[p[j] - 1], cols[j - 1]) in weight}
-
-
 def filled(c: str) -> Column:
     return F.col(c).isNotNull() & (F.trim(c) != "")
 
@@ -366,14 +300,15 @@ def match_units(rows: DataFrame, window: int = 20) -> DataFrame:
     placed = hub.join(member.select(F.col("g").alias("m"), "source").distinct(), "m")
     one = placed.where(F.col("source") == low).select("hub", F.col("m").alias("a"), F.col("confidence").alias("ca"))
     two = placed.where(F.col("source") == high).select("hub", F.col("m").alias("b"), F.col("confidence").alias("cb"))
-    together = one.join(two, "hub").select("a", "b", F.lit(f"{low}-{high}").alias("side"), (1 + F.least("ca", "cb")).alias("confidence"))
+    together = one.join(two, "hub").select("a", "b", F.lit(f"{low}-{high}").alias("side"), F.least("ca", "cb").alias("confidence"))
     ha, hb = hub.select(F.col("m").alias("a"), F.col("hub").alias("hub_a")), hub.select(F.col("m").alias("b"), F.col("hub").alias("hub_b"))
     rest = pairs.where(~hubbed).join(ha, "a", "left").join(hb, "b", "left").where("hub_a IS NULL OR hub_b IS NULL")
     rest = rest.join(entity.select(F.col("g").alias("x"), *[F.col(c).alias(f"{c}_a") for c in ("ylo", "yhi", "town", "town2", "occ")]), F.coalesce("hub_a", "a") == F.col("x")).drop("x")
     rest = rest.join(entity.select(F.col("g").alias("x"), *[F.col(c).alias(f"{c}_b") for c in ("ylo", "yhi", "town", "town2", "occ")]), F.coalesce("hub_b", "b") == F.col("x")).drop("x")
     rest = rest.where(fit).select("a", "b", "side", "confidence")
-    both = together.unionByName(rest).groupBy("a", "b", "side").agg(F.max("confidence").alias("confidence"))
-    done = done.unionByName(assign(both).withColumn("confidence", F.when(F.col("confidence") > 1, F.col("confidence") - 1).otherwise(F.col("confidence"))))
+    both = together.unionByName(rest).unionByName(pairs.where(~hubbed).join(together.select("a", "b"), ["a", "b"], "left_semi").select("a", "b", "side", "confidence"))
+    both = both.groupBy("a", "b", "side").agg((1 - F.product(1 - F.col("confidence"))).alias("confidence"))
+    done = done.unionByName(assign(both))
     out = done.join(of.select(F.col("g").alias("a"), F.col("id").alias("ia")), "a").join(of.select(F.col("g").alias("b"), F.col("id").alias("ib")), "b")
     return out.select(F.least("ia", "ib").alias("unit_a"), F.greatest("ia", "ib").alias("unit_b"), F.round("confidence", 6).alias("confidence"))
 

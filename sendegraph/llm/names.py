@@ -253,6 +253,16 @@ def kind_of(token: str) -> str | None:
     return None
 
 
+RESIDUAL = "="  # no skeleton holds it
+
+
+def residual(label: str | None) -> str:
+    """The tokens of any name of a body, without legal forms, in order of the alphabet; marked, as no theme begins so."""
+    s = re.sub(r"(?i)\be\s*\.\s*v\s*\.?(?=$|[\s,)])", " ", plain(label))
+    got = sorted({t for t in (skeleton(x) for x in re.split(r"[^\w.&]+", s)) if t and t not in LEGAL_FORMS})
+    return f"{RESIDUAL} {' '.join(got)}" if got else ""
+
+
 _ACRONYM = re.compile(r"^[A-ZÄÖÜ][a-z]?[A-ZÄÖÜ]{2,5}$")
 
 

@@ -5,6 +5,7 @@ import string
 import pytest
 from pyspark.sql import functions as F
 
+from sendegraph.llm import assignment as AS
 from sendegraph.llm import contamination as CO
 from sendegraph.llm import cooccurrence as CC
 from sendegraph.llm import matching as MA
@@ -220,20 +221,59 @@ def test_sorted_neighbours_against_brute_force(spark):
     assert got == want
 
 
-@pytest.mark.parametrize("max_exact", [300, 0])
-def test_assignment_against_brute_force(spark, max_exact):
-    rnd = random.Random(8)
-    pairs = {(f"a{rnd.randint(0, 5)}", f"b{rnd.randint(0, 5)}"): rnd.randint(1, 99) / 100 for _ in range(14)}
-    df = spark.createDataFrame([(a, b, "s", w) for (a, b), w in pairs.items()], "a string, b string, side string, confidence double")
-    got = MA.assign(df, max_exact).collect()
+def greatest(pairs):
+    """The greatest total of a one-to-one choice, by a cost matrix (Hungarian method)."""
+    rows, cols = sorted({a for a, _ in pairs}), sorted({b for _, b in pairs})
+    n = max(len(rows), len(cols))
+    cost = [[-pairs.get((rows[i], cols[j]), 0.0) if i < len(rows) and j < len(cols) else 0.0 for j in range(n)] for i in range(n)]
+    u, v, p, way = [0.0] * (n + 1), [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    for i in range(1, n + 1):
+        p[0], j0, least, used = i, 0, [float("inf")] * (n + 1), [False] * (n + 1)
+        while p[j0]:
+            used[j0], delta, j1 = True, float("inf"), 0
+            for j in range(1, n + 1):
+                if not used[j]:
+                    cur = cost[p[j0] - 1][j - 1] - u[p[j0]] - v[j]
+                    if cur < least[j]:
+                        least[j], way[j] = cur, j0
+                    if least[j] < delta:
+                        delta, j1 = least[j], j
+            for j in range(n + 1):
+                if used[j]:
+                    u[p[j]] += delta
+                    v[j] -= delta
+                else:
+                    least[j] -= delta
+            j0 = j1
+        while j0:
+            p[j0] = p[way[j0]]
+            j0 = way[j0]
+    return -sum(cost[p[j] - 1][j - 1] for j in range(1, n + 1))
+
+
+def total_of(got):
     assert len({r["a"] for r in got}) == len({r["b"] for r in got}) == len(got)
-    best = 0.0
-    for k in range(1, 7):
-        for c in itertools.combinations(pairs.items(), k):
-            if len({x[0][0] for x in c}) == k == len({x[0][1] for x in c}):
-                best = max(best, sum(w for _, w in c))
-    total = sum(r["confidence"] for r in got)
-    assert abs(total - best) < 1e-9 if max_exact else total >= best / 2
+    return sum(r["confidence"] for r in got)
+
+
+def pairs_of(seed, ends, n):
+    rnd = random.Random(seed)
+    return {(f"a{rnd.randint(0, ends)}", f"b{rnd.randint(0, ends)}"): rnd.randint(1, 20) / 20 for _ in range(n)}
+
+
+@pytest.mark.parametrize("ends,n", [(5, 14), (12, 60), (150, 700)])
+def test_assignment_is_the_greatest(spark, ends, n):
+    pairs = pairs_of(8, ends, n)
+    df = spark.createDataFrame([(a, b, "s", w) for (a, b), w in pairs.items()], "a string, b string, side string, confidence double")
+    assert abs(total_of(AS.assign(df).collect()) - greatest(pairs)) < 1e-6
+    assert AS.assign(df.limit(0)).count() == 0
+
+
+def test_auction_is_the_greatest(spark):
+    """The distributed way gives the same total, also where local choices mislead."""
+    pairs = {**pairs_of(3, 9, 40), ("x1", "y1"): 0.9, ("x1", "y2"): 0.8, ("x2", "y1"): 0.8}
+    df = spark.createDataFrame([(a, b, "s", w) for (a, b), w in pairs.items()], "a string, b string, side string, confidence double")
+    assert abs(total_of(AS.assign(df, per_task=0, gap=0.002).collect()) - greatest(pairs)) < 0.05
 
 
 def unit_rows(spark, rows):
@@ -254,8 +294,9 @@ def test_matching(spark):
         unit("f4", "fernsehserien_de", "Verein für Wolkenhandel Kranzfurt", "Einrichtung in Kranzfurt", "organization"), unit("n", "zdf", None), unit("n2", "zdf", "", ""),
         {"alignment_unit_id": "h", "entity_class": "person", "match_tier": "exact", "label_wikidata": "A B", "label_zdf": "A B", "label_fernsehserien_de": "A B", "description_wikidata": "Fotograf (* 1950)", "description_zdf": "Lichtbildner", "description_fernsehserien_de": "Bildreporter"},
     ]
+    rows += [unit("w5", "wikidata", "Deutsche Uferbahn AG", None, "organization"), unit("z5", "zdf", "Uferbahn, Deutsche", "Unternehmen", "organization"), unit("f6", "fernsehserien_de", "Universität Grünbüttel", None, "organization"), unit("z6", "zdf", "Universität Grünbüttel", "in Grünbüttel", "organization")]
     got = {(r["unit_a"], r["unit_b"]) for r in MA.match_units(unit_rows(spark, rows + rows[:2])).collect()}
-    assert got == {("f1", "w1"), ("f1", "z1"), ("w1", "z1"), ("w3", "z3")}
+    assert got == {("f1", "w1"), ("f1", "z1"), ("w1", "z1"), ("w3", "z3"), ("w5", "z5"), ("f6", "z6")}
     assert MA.match_units(unit_rows(spark, rows).limit(0)).count() == 0
 
 
