@@ -4,7 +4,9 @@ Method: every name is rewritten in all canonical ways - titles, brackets and
 legal forms off, pet forms and initials to formal names, abbreviations to the
 words they shorten, acronyms of bodies, tokens in either order, one letter
 dropped for slips of typing. The forms are exploded and equi-joined; what meets
-in a form is compared in full, and the rarer the form, the surer the link.
+in a form is compared in full, and the rarer the form, the surer the link: the
+agreement of two names is weighed against the partners that the form would give
+by accident.
 
 Persons meet in (form of a family part, letter of the given name, birth year or
 place), so hot family names are split by all three. Functions in bodies are
@@ -152,53 +154,108 @@ def forms_udf():
             for r in rs:
                 letters = N.given_letters(r["given"]) or {""}
                 for part in r["family"]:
-                    got.update((d, c) for d in N.deletions(part) for c in letters)
+                    got.update((d, c) for d in N.deletions(part, 4) for c in letters)
             out.append([{"form": d, "letter": c} for d, c in sorted(got)])
         return pd.Series(out, dtype=object)
 
     return run
 
 
-def person_links(rows: DataFrame, key: str, label: str, year: Column, place: Column, min_match: float = 0.5) -> DataFrame:
-    """(key_a, key_b, confidence): rows of one person under different spellings.
+def distinct_persons(rows: DataFrame, key: str, label: str, year: Column, place: Column) -> tuple[DataFrame, DataFrame]:
+    """(people, members): each different (label, year, place) once, under its least key, and all keys that have it.
 
-    The confidence is the agreement of the names, lowered by how common the
-    rarest form is in which they meet.
+    A third of all rows may be copies under other keys: they are one row of
+    ``people`` and meet nothing twice.
     """
     place = F.lower(F.trim(place))
-    base = rows.select(F.col(key).alias("id"), F.col(label).alias("label"), year.alias("year"), F.when(place != "", place).alias("place"))
-    base = base.where("id IS NOT NULL AND label IS NOT NULL AND label <> ''").distinct()
+    base = rows.select(F.col(key).alias("key"), F.col(label).alias("label"), year.alias("year"), F.when(place != "", place).alias("place"))
+    base = base.where("key IS NOT NULL AND label IS NOT NULL AND label <> ''").distinct()
+    what = ["label", "year", "place"]
+    rep = base.groupBy(*what).agg(F.min("key").alias("id"))
+    same = F.lit(True)
+    for c in what:
+        same = same & F.col(f"b.{c}").eqNullSafe(F.col(f"r.{c}"))
+    members = materialize(base.alias("b").join(rep.alias("r"), same).select("key", F.col("r.id").alias("id"), *[F.col(f"b.{c}").alias(c) for c in what]), "copies")
     lexicon = given_lexicon(base, "label")
-    people = materialize(with_known(base, "label", ["label"], lexicon).withColumn("r", readings_udf()("label", "known")).drop("known").where(F.size("r") > 0), "people")
+    people = with_known(members.select("id", *what).distinct(), "label", ["label"], lexicon).withColumn("r", readings_udf()("label", "known")).drop("known")
+    people = people.where(F.size("r") > 0).withColumn("id", F.concat_ws("\u0001", "id", "label"))
+    members = members.withColumn("id", F.concat_ws("\u0001", "id", "label"))
+    return materialize(people, "people"), members
+
+
+def meetings(people: DataFrame) -> DataFrame:
+    """(id_a, id_b, chance): those who share a form, the first letters of the given name, and a year or place, and differ in neither.
+
+    ``chance`` is how many others would share as much with one by accident: of the
+    forms and marks in which the two meet, the rarest pair counts.
+    """
     forms = materialize(people.select("id", "year", "place", F.explode(forms_udf()("r")).alias("f")).select("id", "year", "place", "f.form", "f.letter"), "forms")
-    n = forms.select("id").distinct().count() or 1
-    common = forms.groupBy("form").agg(F.count_distinct("id").alias("df"))
+    n = people.count() or 1
+    common = forms.groupBy("form", "letter").agg(F.count_distinct("id").alias("df"))
     marks = F.filter(F.array(F.concat(F.lit("y"), F.col("year").cast("string")), F.concat(F.lit("p"), F.col("place"))), lambda x: x.isNotNull())
-    keyed = forms.join(common, "form").select("form", "letter", "df", F.explode(marks).alias("mark"), "id", "year", "place")
+    often = people.select("id", F.explode(marks).alias("mark")).groupBy("mark").agg(F.count_distinct("id").alias("dm"))
+    keyed = forms.join(common.where("df > 1"), ["form", "letter"]).select("form", "letter", "df", F.explode(marks).alias("mark"), "id", "year", "place")
     a = keyed.select("form", "letter", "mark", "df", *[F.col(c).alias(f"{c}_a") for c in ("id", "year", "place")])
     b = keyed.select("form", "letter", "mark", *[F.col(c).alias(f"{c}_b") for c in ("id", "year", "place")])
     agree = (F.coalesce(F.col("year_a") == F.col("year_b"), F.lit(True))) & (F.coalesce(F.col("place_a") == F.col("place_b"), F.lit(True)))
-    met = (
-        a.join(b, ["form", "letter", "mark"]).where((F.col("id_a") < F.col("id_b")) & agree)
-        .groupBy("id_a", "id_b").agg(F.min("df").alias("df"))
-    )
-    met = materialize(met, "met")
-    names = people.groupBy("id").agg(F.flatten(F.collect_list("r")).alias("r"))
-    full = met.join(names.select(F.col("id").alias("id_a"), F.col("r").alias("ra")), "id_a").join(names.select(F.col("id").alias("id_b"), F.col("r").alias("rb")), "id_b")
+    met = a.join(b, ["form", "letter", "mark"]).where((F.col("id_a") < F.col("id_b")) & agree).join(often, "mark")
+    return materialize(met.groupBy("id_a", "id_b").agg((F.min(F.col("df") * F.col("dm")) / F.lit(float(n))).alias("chance")), "met")
+
+
+def class_links(people: DataFrame, min_confidence: float = 0.5) -> DataFrame:
+    """(id_a, id_b, confidence): different spellings of one person.
+
+    The agreement m of two names is weighed against the number of accidental
+    partners that their rarest common rewriting would have: m / (m + (1 - m) *
+    chance). Two spellings that share no form may each be linked with a third one:
+    their confidence is the product of both links, if nothing known of them differs.
+    """
+    met = meetings(people)
+    names = materialize(people.groupBy("id").agg(F.flatten(F.collect_list("r")).alias("r"), F.first("year").alias("year"), F.first("place").alias("place")), "names")
+    side = lambda x: names.select(F.col("id").alias(f"id_{x}"), F.col("r").alias(f"r_{x}"), F.col("year").alias(f"year_{x}"), F.col("place").alias(f"place_{x}"))
+    m = F.col("m")
     links = materialize(
-        full.withColumn("m", match_udf()("ra", "rb"))
-        .where(F.col("m") > min_match)
-        .select(F.col("id_a").alias("key_a"), F.col("id_b").alias("key_b"), F.round(F.col("m") * (1 - (F.col("df") - 1) / F.lit(n)), 6).alias("confidence")),
+        met.join(side("a").select("id_a", "r_a"), "id_a").join(side("b").select("id_b", "r_b"), "id_b")
+        .withColumn("m", match_udf()("r_a", "r_b"))
+        .select("id_a", "id_b", (m / (m + (1 - m) * F.col("chance"))).alias("confidence"))
+        .where(F.col("confidence") > min_confidence),
         "links",
     )
-    # spellings that are too far apart to meet may both be linked with others: compare within each person's component
-    comp = materialize(connected_components(links, "key_a", "key_b"), "components")
-    side = lambda x: comp.join(people.select("id", "year", "place").distinct(), F.col("node") == F.col("id")).select("component", *[F.col(c).alias(f"{c}_{x}") for c in ("id", "year", "place")])
-    more = side("a").join(side("b"), "component").where((F.col("id_a") < F.col("id_b")) & agree & (F.col("year_a").eqNullSafe(F.col("year_b")) & F.col("year_a").isNotNull() | F.col("place_a").eqNullSafe(F.col("place_b")) & F.col("place_a").isNotNull()))
-    more = more.select(F.col("id_a").alias("key_a"), F.col("id_b").alias("key_b")).distinct().join(links, ["key_a", "key_b"], "left_anti")
-    more = more.join(names.select(F.col("id").alias("key_a"), F.col("r").alias("ra")), "key_a").join(names.select(F.col("id").alias("key_b"), F.col("r").alias("rb")), "key_b")
-    far = more.where(given_udf()("ra", "rb")).select("key_a", "key_b", F.lit(min_match).alias("confidence"))
-    return links.unionByName(far)
+    both = materialize(links.unionByName(links.select(F.col("id_b").alias("id_a"), F.col("id_a").alias("id_b"), "confidence")), "both_ways")
+    via = both.select(F.col("id_a").alias("mid"), F.col("id_b").alias("id_a"), F.col("confidence").alias("c1")).join(both.select(F.col("id_a").alias("mid"), "id_b", F.col("confidence").alias("c2")), "mid")
+    via = via.where("id_a < id_b").groupBy("id_a", "id_b").agg(F.max(F.col("c1") * F.col("c2")).alias("confidence")).where(F.col("confidence") > min_confidence)
+    known = (F.col("year_a") == F.col("year_b")) | (F.col("place_a") == F.col("place_b"))
+    differ = (F.col("year_a") != F.col("year_b")) | (F.col("place_a") != F.col("place_b"))
+    far = via.join(links.select("id_a", "id_b"), ["id_a", "id_b"], "left_anti").join(side("a"), "id_a").join(side("b"), "id_b")
+    far = far.where(F.coalesce(known, F.lit(False)) & ~F.coalesce(differ, F.lit(False))).where(given_udf()("r_a", "r_b")).select("id_a", "id_b", "confidence")
+    return materialize(links.unionByName(far), "spellings")
+
+
+def person_links(rows: DataFrame, key: str, label: str, year: Column, place: Column) -> DataFrame:
+    """(key_a, key_b, confidence): rows of one person, under different spellings or, with a year or place, the same."""
+    people, members = distinct_persons(rows, key, label, year, place)
+    links, of = class_links(people), members.select("key", "id").distinct()
+    across = links.join(of.select(F.col("key").alias("k1"), F.col("id").alias("id_a")), "id_a").join(of.select(F.col("key").alias("k2"), F.col("id").alias("id_b")), "id_b")
+    sure = members.where("year IS NOT NULL OR place IS NOT NULL").join(people.select("id").distinct(), "id", "left_semi").select("key", "id")
+    within = sure.select("id", F.col("key").alias("k1")).join(sure.select("id", F.col("key").alias("k2")), "id").where("k1 < k2").select("k1", "k2", F.lit(1.0).alias("confidence"))
+    out = across.where("k1 <> k2").select(F.least("k1", "k2").alias("key_a"), F.greatest("k1", "k2").alias("key_b"), "confidence").unionByName(within.toDF("key_a", "key_b", "confidence"))
+    return out.groupBy("key_a", "key_b").agg(F.round(F.max("confidence"), 6).alias("confidence"))
+
+
+def person_classes(rows: DataFrame, key: str, label: str, year: Column, place: Column) -> DataFrame:
+    """(key, class_key, n_links): each row with the least key of its person, and the number of other rows linked with it.
+
+    No pairs of copies are made: a class of k copies is k rows.
+    """
+    people, members = distinct_persons(rows, key, label, year, place)
+    links = class_links(people)
+    comp = connected_components(links, "id_a", "id_b")
+    size = members.groupBy("id").agg(F.count_distinct("key").alias("copies"), F.min("key").alias("least"), F.max(F.col("year").isNotNull() | F.col("place").isNotNull()).alias("sure"))
+    near = links.select("id_a", "id_b").union(links.select("id_b", "id_a")).join(size.select(F.col("id").alias("id_b"), "copies"), "id_b").groupBy(F.col("id_a").alias("id")).agg(F.sum("copies").alias("others"))
+    placed = size.join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
+    low = placed.groupBy("component").agg(F.min("least").alias("class_key"))
+    done = placed.join(low, "component").join(near, "id", "left").select("id", F.when(F.col("sure"), F.col("class_key")).alias("class_key"), (F.when(F.col("sure"), F.col("copies") - 1).otherwise(0) + F.coalesce("others", F.lit(0))).alias("n_links"))
+    return members.select("key", "id").distinct().join(done, "id").groupBy("key").agg(F.min(F.coalesce("class_key", "key")).alias("class_key"), F.max("n_links").alias("n_links"))
 
 
 def settle(tokens: DataFrame) -> DataFrame:
