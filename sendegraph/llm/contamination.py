@@ -18,8 +18,12 @@ long documents; exact shingle containment verifies what it finds.
   shingle are extended over one changed, dropped or added word.
 
 Defined results: null and empty texts contain nothing; items shorter than
-``min_words`` are never found; repeated rows count once; a document id that
-occurs with several texts is tested with each.
+``min_words`` are never found; repeated rows count once (the result is grouped, so
+no text is shuffled to find them); a document id that occurs with several texts is
+tested with each.
+
+:func:`contained` is the search by sizes and signatures for items that stand in a
+document wholly or nearly so: see there.
 """
 
 from __future__ import annotations
@@ -179,7 +183,7 @@ def leaks(
     piece = (min_words - 1) // 2
     overlap = 2 * (min_words + 1)
     segs = materialize(
-        documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("t IS NOT NULL AND t <> ''").distinct()
+        documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("t IS NOT NULL AND t <> ''")
         .select("d", F.posexplode(segments_udf(segment_words, overlap)("t")).alias("seg", "words"))
         .where(F.size(F.split("words", " ")) >= min_words - 1),
         "segments",
@@ -207,3 +211,107 @@ def leaks(
         .agg(F.max("n").alias("stretch_words"))
         .select(F.col("d").alias(doc_id), F.col("i").alias(item_id), "stretch_words")
     )
+
+
+def signature_udf(n_hashes: int, shingle: int = SHINGLE):
+    """Words joined by blanks to (number of distinct shingles, ``n_hashes`` MinHash values)."""
+
+    @pandas_udf("struct<size:int,sig:array<long>>")
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        mul = np.random.default_rng(7).integers(1, 2**63, n_hashes, dtype=np.uint64) | np.uint64(1)
+        cache: dict[str, int] = {}
+        for texts in it:
+            size, sig = [], []
+            for t in texts:
+                if len(cache) > 2_000_000:
+                    cache.clear()
+                sh = np.unique(shingle_hashes(word_hashes(t.split(), cache), shingle))
+                size.append(len(sh))
+                if not len(sh):
+                    sig.append(None)
+                    continue
+                low = np.full(n_hashes, np.iinfo(np.uint64).max, dtype=np.uint64)
+                with np.errstate(over="ignore"):
+                    for i in range(0, len(sh), 512):
+                        h = sh[i : i + 512, None] * mul[None, :]
+                        h ^= h >> np.uint64(31)
+                        h *= _MIX
+                        low = np.minimum(low, h.min(axis=0))
+                sig.append(low.view(np.int64))
+            yield pd.DataFrame({"size": size, "sig": sig})
+
+    return run
+
+
+def bands_for(threshold: float, most: int, query: int, n_hashes: int, recall: float = 0.99) -> int:
+    """Rows a band for documents of up to ``most`` shingles and items of ``query``: the most rows at which a pair at the threshold meets with probability ``recall``.
+
+    At containment t of an item of q shingles in a document of u, the Jaccard
+    similarity is t q / (q + u - t q); n // r bands of r rows find it with
+    probability 1 - (1 - J ** r) ** (n // r).
+    """
+    j = threshold * query / (query + most - threshold * query)
+    return max((r for r in range(1, 9) if 1 - (1 - j**r) ** (n_hashes // r) >= recall), default=1)
+
+
+def contained(
+    documents: DataFrame,
+    items: DataFrame,
+    doc_id: str = "doc_id",
+    item_id: str = "item_id",
+    text: str = "text",
+    threshold: float = 0.8,
+    n_hashes: int = 128,
+    segment_words: int = 256,
+) -> DataFrame:
+    """(doc_id, item_id, containment): items of whose word shingles at least ``threshold`` stand in one stretch of a document.
+
+    Size-partitioned MinHash containment search. Long documents are cut into
+    segments that overlap by the longest item's words, so that no segment is out of
+    proportion to an item; segments and items fall into partitions by the power of
+    two of their shingles, and each pair of partitions has its own bands, tuned to
+    the Jaccard similarity that the threshold means at these sizes. Candidates are
+    verified by exact shingle containment. Recall of the search is that of the
+    bands (``bands_for``, 0.99 at the threshold where ``n_hashes`` allow it); every
+    row found is exact. Items without a shingle are never found.
+    """
+    its = items.select(F.col(item_id).alias("i"), F.col(text).alias("t")).where("t IS NOT NULL AND t <> ''")
+    its = materialize(its.select("i", F.explode(segments_udf(1_000_000, 0)("t")).alias("iwords")), "items")
+    longest = its.agg(F.max(F.size(F.split("iwords", " ")))).first()[0] or 1
+    step = max(segment_words, 2 * longest)
+    segs = documents.select(F.col(doc_id).alias("d"), F.col(text).alias("t")).where("t IS NOT NULL AND t <> ''")
+    segs = segs.select("d", F.posexplode(segments_udf(step, longest)("t")).alias("seg", "words"))
+    sig, part = signature_udf(n_hashes), lambda c: F.floor(F.log2(c)).cast("int")
+    segs = materialize(segs.withColumn("s", sig("words")).where("s.size > 0").select("d", "seg", "words", part(F.col("s.size")).alias("p"), "s.sig"), "signatures")
+    its = materialize(its.withColumn("s", sig("iwords")).where("s.size > 0").select("i", "iwords", part(F.col("s.size")).alias("q"), "s.sig"), "itemsigs")
+    sizes = lambda df, c: [r[0] for r in df.select(c).distinct().collect()]  # noqa: E731  (powers of two: some twenty)
+    rows_of = {(p, q): bands_for(threshold, 2 ** (p + 1), 2**q, n_hashes) for p in sizes(segs, "p") for q in sizes(its, "q") if p >= q - 1}
+
+    def banded(df: DataFrame, keep: list[str], mine: str) -> DataFrame:
+        def bands(r: int):
+            cut = F.transform(F.sequence(F.lit(0), F.lit(n_hashes // r - 1)), lambda k: F.xxhash64(k, F.slice("sig", k * r + 1, F.lit(r))))
+            return F.transform(cut, lambda h: F.struct(F.lit(r).alias("r"), h.alias("h")))
+
+        out = None
+        for r in sorted(set(rows_of.values())):
+            parts = sorted({(p if mine == "p" else q) for (p, q), x in rows_of.items() if x == r})
+            d = df.where(F.col(mine).isin(parts)).select(*keep, mine, F.explode(bands(r)).alias("b"))
+            out = d if out is None else out.unionByName(d)
+        return out
+
+    if not rows_of:
+        return documents.select(F.col(doc_id)).limit(0).crossJoin(items.select(F.col(item_id)).limit(0)).withColumn("containment", F.lit(0.0))
+    pairs = documents.sparkSession.createDataFrame([(p, q, r) for (p, q), r in rows_of.items()], "p int, q int, r int")
+    cand = banded(segs, ["d", "seg"], "p").join(banded(its, ["i"], "q"), "b").join(F.broadcast(pairs.withColumnRenamed("r", "need")), ["p", "q"])  # a few hundred rows
+    cand = materialize(cand.where("b.r = need").select("d", "seg", "i").distinct(), "candidates")
+
+    @pandas_udf("double")
+    def share(seg: pd.Series, item: pd.Series) -> pd.Series:
+        def grams(t: str) -> set:
+            w = t.split()
+            return {tuple(w[k : k + SHINGLE]) for k in range(len(w) - SHINGLE + 1)}
+
+        return pd.Series([len(grams(b) & grams(a)) / max(1, len(grams(b))) for a, b in zip(seg, item)], dtype="float64")
+
+    full = cand.join(segs.select("d", "seg", "words"), ["d", "seg"]).join(its.select("i", "iwords"), "i").select("d", "i", share("words", "iwords").alias("c"))
+    return full.where(F.col("c") >= threshold).groupBy("d", "i").agg(F.round(F.max("c"), 6).alias("containment")).select(F.col("d").alias(doc_id), F.col("i").alias(item_id), "containment")

@@ -50,6 +50,13 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return named(persons, "canonical_label").unionByName(named(roles, "guest_role"))
 
 
+def p5_persons(spark: SparkSession, sf: str) -> DataFrame:
+    """Each row of dedup_persons with the class of its person and the number of rows linked with it."""
+    return variants.person_classes(
+        table(spark, sf, "dedup_persons"), "canonical_entity_id", "canonical_label", variants.year_of(F.col("birthyear")), F.col("birthplace")
+    ).withColumnRenamed("key", "canonical_entity_id")
+
+
 def p5_classes(spark: SparkSession, sf: str) -> DataFrame:
     """Each distinct guest_role with the class of function, kind, theme and town it belongs to."""
     return variants.role_classes(table(spark, sf, "episode_guests_normalized"), "guest_role")
@@ -60,6 +67,11 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return contamination.leaks(table(spark, sf, "documents"), table(spark, sf, "eval_items")).select("doc_id", "item_id")
 
 
+def p8_contained(spark: SparkSession, sf: str) -> DataFrame:
+    """Evaluation items that stand in a document wholly or nearly so, with their containment."""
+    return contamination.contained(table(spark, sf, "documents"), table(spark, sf, "eval_items"))
+
+
 CAPACITY = 2048
 
 
@@ -98,9 +110,11 @@ QUERIES = {
     "p4_pairs": p4_pairs,
     "p5_found": p5_found,
     "p5_classes": p5_classes,
+    "p5_persons": p5_persons,
     "p7_containers": p7_containers,
     "p7_summary": p7_summary,
     "p8_found": p8_found,
+    "p8_contained": p8_contained,
     "p9_found": p9_found,
     "p9_composition": p9_composition,
 }
