@@ -9,7 +9,7 @@ import html
 import re
 import unicodedata
 
-_TAG = re.compile(r"<[^<>]{0,400}>")
+_TAG = re.compile(r"<[a-zA-Z/!?][^<>]*>")
 _SOFT = re.compile("[­​‌‍⁠﻿]")
 _WORD = re.compile(r"[a-z0-9]+")
 _BROKEN = re.compile("[ÂÃÄÅâ][\u0080-¿‘-›ŒœŠšŸŽžƒˆ˜€™]+")
