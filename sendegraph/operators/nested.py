@@ -13,7 +13,7 @@ The parse is a vectorised function inside the projection, so rows stay where the
 version selection has put them (hashed by id) and the pivots shuffle nothing.
 
 Defined results: a null, blank or damaged text gives no triples; a text that is a
-string holding the record is read once more; a wrapper ``{"<wrapper>": record}``
+string holding the record is read as often as it was packed; a wrapper ``{"<wrapper>": record}``
 is opened; where a list is expected a lone value is a list of one; empty lists
 and objects and nulls give no rows; of a key that occurs twice the last holds.
 """
@@ -29,6 +29,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
+from ..session import materialize
+
 TRIPLES = "array<struct<path:string,ord:array<string>,value:string>>"
 
 
@@ -37,10 +39,8 @@ def load_record(text: str | None, wrapper: str | None = None):
     if text is None:
         return None
     try:
-        for _ in range(4):
+        while isinstance(text, str):  # each reading is shorter than the text it was in
             text = json.loads(text.strip().lstrip("﻿"))
-            if not isinstance(text, str):
-                break
     except (ValueError, RecursionError):
         return None
     if wrapper and isinstance(text, dict) and set(text) == {wrapper}:
@@ -146,37 +146,70 @@ def pivot_group(tr: DataFrame, key: str, group: str, paths: list[str]) -> DataFr
 
 CLAIM_KEYS = r"P\d+"
 CLAIM_LISTS = ["*", "*[].references", "*[].qualifiers.*", "*[].references[].snaks.*"]
-SNAK_PATHS = {
-    "mainsnak": "*[].mainsnak",
-    "qualifier": "*[].qualifiers.*[]",
-    "reference": "*[].references[].snaks.*[]",
+SNAK_GROUPS = {
+    "mainsnak": ("*[]", "*[].mainsnak"),
+    "qualifier": ("*[].qualifiers.*[]", "*[].qualifiers.*[]"),
+    "reference": ("*[].references[].snaks.*[]", "*[].references[].snaks.*[]"),
 }
 
 
+def pivoted_udf(data_keys: str, listed: list[str], wrapper: str | None, groups: dict[str, list[str]]):
+    """Text to the rows of all its groups: the triples of a record, pivoted as they come, (group, ord, one value a path of the group).
+
+    All triples of a row lie in one record, so no shuffle is needed to bring them together.
+    """
+    place = {p: (g, i) for g, ps in groups.items() for i, p in enumerate(ps)}
+
+    @pandas_udf("array<struct<group:string,ord:array<string>,vals:array<string>>>")
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        keys, lists = re.compile(data_keys), frozenset(listed)
+
+        def rows(text: str | None) -> list[dict]:
+            out: dict[tuple, list] = {}
+            for path, ordinals, value in walk(load_record(text, wrapper), keys, lists):
+                at = place.get(path)
+                if at is not None:
+                    vals = out.get((at[0], ordinals))
+                    if vals is None:
+                        vals = out[at[0], ordinals] = [None] * len(groups[at[0]])
+                    vals[at[1]] = "{}" if value is None else value
+            return [{"group": g, "ord": list(o), "vals": v} for (g, o), v in out.items()]
+
+        for texts in it:
+            yield pd.Series([rows(t) for t in texts], dtype=object)
+
+    return run
+
+
+def claim_triples(entities: DataFrame, key: str = "id", version: str = "discovered_at_utc", text: str = "claims", only: str | None = None) -> DataFrame:
+    """Triples of the claims of each entity's latest version."""
+    return triples(latest(entities, key, version, text), key, text, CLAIM_KEYS, CLAIM_LISTS, "claims", only)
+
+
 def claim_tables(entities: DataFrame, key: str = "id", version: str = "discovered_at_utc", text: str = "claims") -> dict[str, DataFrame]:
-    """Flat tables of all claims: statements, qualifiers, references, reference_snaks, and orders of lists."""
-    tr = triples(latest(entities, key, version, text), key, text, CLAIM_KEYS, CLAIM_LISTS, "claims")
+    """Flat tables of all claims: statements, qualifiers, references, reference_snaks, and orders of lists; every record is parsed once."""
+    tr = materialize(claim_triples(entities, key, version, text), "triples")
     return {g: pivot_group(tr, key, g, p) for g, p in path_groups(tr).items() if g}
 
 
 def snaks(entities: DataFrame, key: str = "id", version: str = "discovered_at_utc", text: str = "claims") -> DataFrame:
     """All snaks of all claims with their entity, property, statement and place.
 
-    The three groups with snaks are pivoted as above, with the object itself as
-    the only column: the parse sends no other triple.
+    The three groups whose rows hold a snak are pivoted together, record by
+    record; the only column asked of each is the snak itself.
     """
-    only = "|".join(re.escape(p) for p in SNAK_PATHS.values())
-    tr = triples(latest(entities, key, version, text), key, text, CLAIM_KEYS, CLAIM_LISTS, "claims", only)
-    o = F.col("ord")
-    section = F.create_map(*[x for k, p in SNAK_PATHS.items() for x in (F.lit(p), F.lit(k))])[F.col("path")]
+    parse = pivoted_udf(CLAIM_KEYS, CLAIM_LISTS, "claims", {g: [p] for g, p in SNAK_GROUPS.values()})
+    rows = latest(entities, key, version, text).select(key, F.explode(parse(F.col(text))).alias("r")).select(key, "r.group", "r.ord")
+    o, num = F.col("ord"), lambda c: c.cast("long")
+    section = F.create_map(*[x for k, (g, _) in SNAK_GROUPS.items() for x in (F.lit(g), F.lit(k))])[F.col("group")]
     main, ref = F.col("snak_section") == "mainsnak", F.col("snak_section") == "reference"
-    num = lambda c: c.cast("long")
-    return tr.withColumn("snak_section", section).select(
+    zero = F.lit(0).cast("long")
+    return rows.withColumn("snak_section", section).select(
         F.col(key).alias("entity_id"),
         o[0].alias("pid"),
         num(o[1]).alias("statement_no"),
         "snak_section",
-        F.when(ref, num(F.get(o, F.lit(2)))).otherwise(F.lit(0).cast("long")).alias("section_no"),
+        F.when(ref, num(F.get(o, F.lit(2)))).otherwise(zero).alias("section_no"),
         F.when(main, o[0]).when(ref, F.get(o, F.lit(3))).otherwise(F.get(o, F.lit(2))).alias("snak_pid"),
-        F.when(main, F.lit(0).cast("long")).when(ref, num(F.get(o, F.lit(4)))).otherwise(num(F.get(o, F.lit(3)))).alias("snak_no"),
+        F.when(main, zero).when(ref, num(F.get(o, F.lit(4)))).otherwise(num(F.get(o, F.lit(3)))).alias("snak_no"),
     )
