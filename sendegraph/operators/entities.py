@@ -59,14 +59,15 @@ def eligibility(is_class: Column, is_seed: Column, hop: Column, core: Column, mo
     )
 
 
-def crawl_frontier(links: DataFrame, starts: DataFrame, max_rounds: int = 20) -> DataFrame:
-    """(page, round): pages reached over links from the starts, each in the first round that reaches it."""
+def crawl_frontier(links: DataFrame, starts: DataFrame, max_rounds: int | None = None) -> DataFrame:
+    """(page, round): pages reached over links from the starts, each in the first round that reaches it; all, or those of ``max_rounds``."""
     from ..session import materialize
 
     e = materialize(links.select(F.col("page").alias("p"), F.col("target").alias("t")).where("t IS NOT NULL").distinct(), "links")
     seen = materialize(starts.select("page").distinct().withColumn("round", F.lit(0).cast("long")), "starts")
-    new = seen
-    for i in range(1, max_rounds + 1):
+    new, i = seen, 0
+    while max_rounds is None or i < max_rounds:
+        i += 1
         step = new.join(e, F.col("page") == F.col("p")).select(F.col("t").alias("page")).distinct().join(seen.select("page"), "page", "left_anti")
         new = materialize(step.withColumn("round", F.lit(i).cast("long")), "round")
         if new.isEmpty():

@@ -74,13 +74,14 @@ def hops(edges: DataFrame, a: str, b: str, seeds: DataFrame, k: int) -> DataFram
     return seen.where("hop > 0")
 
 
-def propagate_relevance(triples: DataFrame, seeds: DataFrame, rules: DataFrame, classes: DataFrame, max_rounds: int = 50, both_ways: bool = False) -> DataFrame:
+def propagate_relevance(triples: DataFrame, seeds: DataFrame, rules: DataFrame, classes: DataFrame, max_rounds: int | None = None, both_ways: bool = False) -> DataFrame:
     """(entity, seed, parent, predicate, round): entities made relevant by inheritable predicates, with where it came from.
 
     triples (subject, predicate, object); seeds (entity); rules (predicate,
     subject_class, object_class; null matches any); classes (entity, class): an
     entity of unknown class contradicts no rule. Of several ways in the same round
-    the smallest (parent, predicate) counts. Once relevant, always relevant.
+    the smallest (parent, predicate) counts. Once relevant, always relevant. Rounds
+    go on until none adds an entity, unless ``max_rounds`` is given.
     """
     t = triples.select("subject", "predicate", "object").where("subject IS NOT NULL AND object IS NOT NULL")
     cls = classes.groupBy("entity").agg(F.min("class").alias("class"))
@@ -93,8 +94,9 @@ def propagate_relevance(triples: DataFrame, seeds: DataFrame, rules: DataFrame,
     ok = materialize(ok, "inheritable")
     none = F.lit(None).cast("string")
     done = materialize(seeds.select("entity").distinct().select("entity", F.col("entity").alias("seed"), none.alias("parent"), none.alias("predicate"), F.lit(0).cast("long").alias("round")), "seeds")
-    frontier = done
-    for i in range(1, max_rounds + 1):
+    frontier, i = done, 0
+    while max_rounds is None or i < max_rounds:
+        i += 1
         step = frontier.select(F.col("entity").alias("subject"), "seed").join(ok, "subject")
         step = step.groupBy(F.col("object").alias("entity")).agg(F.min(F.struct(F.col("subject").alias("parent"), "predicate", "seed")).alias("s"))
         step = step.join(done.select("entity"), "entity", "left_anti").select("entity", "s.seed", "s.parent", "s.predicate", F.lit(i).cast("long").alias("round"))

@@ -55,23 +55,21 @@ def frequency_distribution(df: DataFrame, carrier: str) -> DataFrame:
 
 
 def running(df: DataFrame, order: list, value: str) -> DataFrame:
-    """``running`` sum of ``value`` in the given order and its share of the total.
+    """``running`` sum of ``value`` in the given order, its share of the total, and the rank.
 
-    The order is total over the whole frame. Sums of range partitions come first
-    and the window runs inside each, so no task holds all rows.
+    The order is total over the whole frame. Rows are sorted by range partitions
+    and written once; sums of the partitions are then added to the sums inside
+    them, so no task holds all rows.
     """
-    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    part = df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id())
     from ..session import materialize
 
-    part = materialize(part, "ranges")
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    part = materialize(df.repartitionByRange(n, *order).withColumn("_p", F.spark_partition_id()), "ranges")
     sums = part.groupBy("_p").agg(F.sum(value).alias("_s"), F.count("*").alias("_n"))
-    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # as many rows as partitions
-    base = sums.select("_p", F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_b"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_r"))
-    total = sums.agg(F.sum("_s").alias("_t"))
+    w, every = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1), Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # as many rows as partitions
+    base = sums.select("_p", F.coalesce(F.sum("_s").over(w), F.lit(0)).alias("_b"), F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_r"), F.sum("_s").over(every).alias("_t"))
     inner = Window.partitionBy("_p").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    out = part.withColumn("running", F.sum(value).over(inner)).withColumn("rank", F.count("*").over(inner))
-    out = out.join(F.broadcast(base), "_p").crossJoin(total)
+    out = part.withColumn("running", F.sum(value).over(inner)).withColumn("rank", F.count("*").over(inner)).join(F.broadcast(base), "_p")
     out = out.withColumn("running", F.col("running") + F.col("_b")).withColumn("rank", F.col("rank") + F.col("_r"))
     return out.withColumn("cumulative_pct", pct(F.col("running"), F.col("_t"))).drop("_p", "_b", "_r", "_t")
 
