@@ -52,12 +52,17 @@ def emit_once(discovered: DataFrame, normalized: DataFrame, seq: str) -> DataFra
     return discovered.join(normalized.select(seq).distinct(), seq, "left_anti")
 
 
-def adaptive_delay(windows: DataFrame, key: list[str], bad: Column, start: float = 1.0, up: float = 1.05, down: float = 0.99) -> DataFrame:
-    """The delay after each window: times ``up`` after a window with backoff, times ``down`` after a quiet one.
+def adaptive_delay(windows: DataFrame, key: list[str], bad: Column, k: int = 1, start: float = 1.0, up: float = 1.05, down: float = 0.99) -> DataFrame:
+    """The delay after each window: times ``up`` after each run of ``k`` windows with backoff, times ``down`` after each run of ``k`` quiet ones.
 
+    A run begins anew when it has had its effect or the kind of window changes.
     The product over a key's windows is a running sum of logarithms, so the fold
     is a window function and no row-by-row state.
     """
-    w = Window.partitionBy(*key).orderBy("window_no").rowsBetween(Window.unboundedPreceding, 0)
-    step = F.when(bad, F.lit(up)).otherwise(F.lit(down))
-    return windows.withColumn("delay", F.round(F.lit(start) * F.exp(F.sum(F.log(step)).over(w)), 6))
+    by = Window.partitionBy(*key).orderBy("window_no")
+    d = windows.withColumn("_bad", F.coalesce(bad, F.lit(False)))
+    d = d.withColumn("_island", F.row_number().over(by) - F.row_number().over(Window.partitionBy(*key, "_bad").orderBy("window_no")))
+    d = d.withColumn("_run", F.row_number().over(Window.partitionBy(*key, "_bad", "_island").orderBy("window_no")))
+    step = F.when(F.col("_run") % k != 0, F.lit(1.0)).when(F.col("_bad"), F.lit(up)).otherwise(F.lit(down))
+    total = F.sum(F.log(step)).over(by.rowsBetween(Window.unboundedPreceding, 0))
+    return d.withColumn("delay", F.round(F.lit(start) * F.exp(total), 6)).drop("_bad", "_island", "_run")

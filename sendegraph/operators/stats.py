@@ -112,11 +112,17 @@ def specialization(df: DataFrame, carrier: str, group: str, least: int) -> DataF
 
 
 def top_n_other(df: DataFrame, value: str, count: str, n: int, other: str = "Other", unknown: str = UNKNOWN) -> DataFrame:
-    """The n largest values, the rest as one row, the unknown row always last."""
-    w = Window.orderBy((F.col(value) == unknown).cast("int"), F.desc(count), F.asc(value))  # one row per value
-    r = df.withColumn("_r", F.row_number().over(w))
-    label = F.when(F.col(value) == unknown, F.lit(unknown)).when(F.col("_r") <= n, F.col(value)).otherwise(F.lit(other))
-    place = F.when(F.col(value) == unknown, F.lit(n + 2)).otherwise(F.least("_r", F.lit(n + 1)))
+    """The n largest values, the rest as one row, the unknown row always last.
+
+    The largest n come from a top-k, which every task prepares; no window runs over
+    all values.
+    """
+    known = F.coalesce(F.col(value) != unknown, F.lit(True))
+    top = df.where(known).orderBy(F.desc(count), F.asc(value)).limit(n)
+    top = top.select(F.col(value).alias("_v"), F.row_number().over(Window.orderBy(F.desc(count), F.asc(value))).alias("_r"))  # n rows
+    r = df.join(F.broadcast(top), F.col(value).eqNullSafe(F.col("_v")), "left")
+    label = F.when(~known, F.lit(unknown)).when(F.col("_r").isNotNull(), F.col(value)).otherwise(F.lit(other))
+    place = F.when(~known, F.lit(n + 2)).otherwise(F.coalesce("_r", F.lit(n + 1)))
     return r.groupBy(label.alias(value)).agg(F.sum(count).alias(count), F.min(place).cast("long").alias("place"))
 
 

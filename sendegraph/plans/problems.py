@@ -28,12 +28,7 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p2_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """Full path of each class, from the root down, with the number of its descendants."""
-    return _paths(H.resolve(*_links(spark, sf)))
-
-
-def p2_all_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """As p2_paths, which its SQL cuts below cycles: the path of a class below a cycle begins with the cycle's member, and its descendants count."""
+    """Full path of each class, from the root or the member of a cycle down, with the number of its descendants."""
     return _paths(H.resolve(*_links(spark, sf), below_cycles=True))
 
 
@@ -47,12 +42,7 @@ def _paths(resolved: DataFrame) -> DataFrame:
 
 
 def p2_descendants(spark: SparkSession, sf: str) -> DataFrame:
-    """All descendants of each class, with their distance."""
-    return H.ancestor_pairs(H.resolve(*_links(spark, sf)))
-
-
-def p2_all_descendants(spark: SparkSession, sf: str) -> DataFrame:
-    """As p2_descendants, which its SQL cuts below cycles, with the classes that hang below a cycle."""
+    """All descendants of each class, with their distance, also below cycles."""
     return H.ancestor_pairs(H.resolve(*_links(spark, sf), below_cycles=True))
 
 
@@ -83,8 +73,6 @@ QUERIES = {
     "p2_found": p2_found,
     "p2_paths": p2_paths,
     "p2_descendants": p2_descendants,
-    "p2_all_paths": p2_all_paths,
-    "p2_all_descendants": p2_all_descendants,
     "p3_found": p3_found,
     "p3_statements": p3_statements,
     "p3_qualifiers": p3_qualifiers,
@@ -140,27 +128,12 @@ SELECT start AS class_id,
 FROM ends""",
     "p2_paths": _WALK
     + """
-, pairs AS (
-  SELECT e.start AS descendant, unnest(list_slice(e.seen, 2, len(e.seen))) AS ancestor FROM ends e WHERE NOT e.looped AND e.steps > 0),
-n AS (SELECT ancestor, count(*) AS n FROM pairs GROUP BY 1)
-SELECT start AS class_id,
-       CASE WHEN looped THEN start ELSE array_to_string(list_reverse(seen), '>') END AS class_path,
-       CASE WHEN looped THEN -1 ELSE steps END::BIGINT AS node_depth,
-       coalesce(n.n, 0)::BIGINT AS n_descendants
-FROM ends LEFT JOIN n ON n.ancestor = ends.start""",
-    "p2_descendants": _WALK
-    + """
-SELECT e.seen[i.i + 1] AS ancestor, e.start AS descendant, i.i::BIGINT AS distance
-FROM ends e, LATERAL (SELECT unnest(range(1, e.steps + 1)) AS i) i
-WHERE NOT e.looped AND e.steps > 0""",
-    "p2_all_paths": _WALK
-    + """
 , up AS (SELECT start, looped, steps, CASE WHEN looped THEN list_slice(seen, 1, list_position(seen, cur)) ELSE seen END AS way FROM ends),
 n AS (SELECT ancestor, count(*) AS n FROM (SELECT unnest(list_slice(way, 2, len(way))) AS ancestor FROM up) GROUP BY 1)
 SELECT start AS class_id, array_to_string(list_reverse(way), '>') AS class_path, CASE WHEN looped THEN -1 ELSE steps END::BIGINT AS node_depth,
        coalesce(n.n, 0)::BIGINT AS n_descendants
 FROM up LEFT JOIN n ON n.ancestor = up.start""",
-    "p2_all_descendants": _WALK
+    "p2_descendants": _WALK
     + """
 , up AS (SELECT start, CASE WHEN looped THEN list_slice(seen, 1, list_position(seen, cur)) ELSE seen END AS way FROM ends)
 SELECT way[i.i + 1] AS ancestor, start AS descendant, i.i::BIGINT AS distance

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
@@ -180,9 +180,13 @@ def coverage_by_show(spark, sf):
     return stats.coverage(_matched(spark, sf), ["programme"], F.col("qid").isNotNull())
 
 
-@query(_cov(""))
+@query(_SQL + """
+, c AS (SELECT count(*) AS n, count(qid) AS m FROM gu LEFT JOIN per USING (guest))
+SELECT 'rows' AS metric, n::DOUBLE AS value FROM c UNION ALL SELECT 'matched', m FROM c UNION ALL SELECT 'pct_matched', round(m * 100.0e0 / greatest(n, 1), 1) FROM c""")
 def coverage_overall(spark, sf):
-    return stats.coverage(_matched(spark, sf), [], F.col("qid").isNotNull())
+    c = stats.coverage(_matched(spark, sf), [], F.col("qid").isNotNull())
+    names = ["rows", "matched", "pct_matched"]
+    return c.select(F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in names])).alias("x")).select("x.*")
 
 
 _GS = _SQL + ", g AS (SELECT programme, guest, count(*) AS n FROM gu GROUP BY 1, 2)"
@@ -194,9 +198,10 @@ def top_guests_per_show(spark, sf):
     return stats.top_per_group(g, "programme", [F.desc("n"), F.asc("guest")], 10)
 
 
-@query(_SQL + "SELECT guest, count(*) AS n FROM gu GROUP BY 1 ORDER BY n DESC, guest LIMIT 50")
+@query(_SQL + "SELECT guest, n, row_number() OVER (ORDER BY n DESC, guest) AS rank FROM (SELECT guest, count(*) AS n FROM gu GROUP BY 1) ORDER BY n DESC, guest LIMIT 50")
 def top_guests_combined(spark, sf):
-    return guests(spark, sf).groupBy("guest").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "guest").limit(50)
+    top = guests(spark, sf).groupBy("guest").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "guest").limit(50)
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "guest")).cast("long"))  # fifty rows
 
 
 @query(_GS + """
@@ -243,8 +248,6 @@ SELECT y::INT AS "year", decade, n, round(n * 100.0e0 / sum(n) OVER (PARTITION B
 def value_over_time(spark, sf):
     d = guests(spark, sf).join(premieres(spark, sf).select("episode", "day"), "episode").where("day IS NOT NULL").join(persons(spark, sf), "guest", "left")
     g = d.groupBy(F.year("day").alias("year"), F.coalesce((F.floor(F.col("birth") / 10) * 10).cast("int"), F.lit(-1)).alias("decade")).agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
     return g.withColumn("pct_of_year", F.round(F.col("n") * 100.0 / F.sum("n").over(Window.partitionBy("year")), 2))
 
 
@@ -294,11 +297,12 @@ def guests_per_episode(spark, sf):
 
 
 @query(_SQL + """
-, g AS (SELECT birthplace AS value, count(*) AS n FROM gu JOIN per USING (guest) WHERE birthplace IS NOT NULL GROUP BY 1),
-r AS (SELECT *, row_number() OVER (ORDER BY n DESC, value) AS k FROM g)
-SELECT CASE WHEN k <= 10 THEN value ELSE 'Other' END AS value, sum(n)::BIGINT AS n, min(least(k, 11)) AS place FROM r GROUP BY 1""")
+, g AS (SELECT coalesce(birthplace, 'Unknown / no data') AS value, count(*) AS n FROM gu JOIN per USING (guest) GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY (value = 'Unknown / no data'), n DESC, value) AS k FROM g)
+SELECT CASE WHEN value = 'Unknown / no data' THEN value WHEN k <= 10 THEN value ELSE 'Other' END AS value, sum(n)::BIGINT AS n,
+       min(CASE WHEN value = 'Unknown / no data' THEN 12 ELSE least(k, 11) END) AS place FROM r GROUP BY 1""")
 def top_n_other(spark, sf):
-    g = guests(spark, sf).join(persons(spark, sf), "guest").where("birthplace IS NOT NULL").groupBy(F.col("birthplace").alias("value")).agg(F.count("*").alias("n"))
+    g = guests(spark, sf).join(persons(spark, sf), "guest").groupBy(F.coalesce("birthplace", F.lit(stats.UNKNOWN)).alias("value")).agg(F.count("*").alias("n"))
     return stats.top_n_other(g, "value", "n", 10)
 
 
@@ -365,10 +369,10 @@ def occurrence_long(spark, sf):
 
 
 @query(_SQL + """
-, top AS (SELECT guest FROM gu GROUP BY 1 ORDER BY count(*) DESC, guest LIMIT 30), o AS (SELECT guest, episode FROM gu WHERE guest IN (SELECT guest FROM top))
+, top AS (SELECT guest FROM gu GROUP BY 1 ORDER BY count(*) DESC, guest LIMIT 200), o AS (SELECT guest, episode FROM gu WHERE guest IN (SELECT guest FROM top))
 SELECT x.guest AS a, y.guest AS b, count(*) AS n FROM o x JOIN o y USING (episode) GROUP BY 1, 2""")
 def cooccurrence_matrix(spark, sf):
-    top = top_guests_combined(spark, sf).orderBy(F.desc("n"), "guest").limit(30).select("guest")
+    top = guests(spark, sf).groupBy("guest").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "guest").limit(200).select("guest")
     return reshape.cooccurrence(reshape.occurrence(guests(spark, sf).join(top, "guest", "left_semi"), "guest", "episode"))
 
 
@@ -381,15 +385,10 @@ def cooccurrence_pairs(spark, sf):
 
 
 @query(_SQL + """
-, r AS (SELECT episode, guest, row_number() OVER (PARTITION BY episode ORDER BY guest) - 1 AS o FROM gu)
-SELECT episode, max(CASE WHEN o = 0 THEN guest END) AS guest_0, max(CASE WHEN o = 1 THEN guest END) AS guest_1, max(CASE WHEN o = 2 THEN guest END) AS guest_2, max(CASE WHEN o = 3 THEN guest END) AS guest_3 FROM r GROUP BY 1""")
+, r AS (SELECT episode, guest, 'guest_' || (row_number() OVER (PARTITION BY episode ORDER BY guest) - 1) AS o FROM gu)
+SELECT * FROM (PIVOT r ON o USING max(guest) GROUP BY episode)""")
 def wide_ordinals(spark, sf):
-    return reshape.wide(reshape.ordinal(guests(spark, sf), ["episode"], ["guest"]), "episode", "ordinal", ["guest"], 4)
-
-
-@query(None)
-def wide_ordinals_all(spark, sf):
-    """As wide_ordinals, which its SQL cuts at four guests, with as many columns as the fullest episode has guests."""
+    """As many columns as the fullest episode has guests."""
     return reshape.wide(materialize(reshape.ordinal(guests(spark, sf), ["episode"], ["guest"]), "ordinals"), "episode", "ordinal", ["guest"])
 
 
@@ -405,10 +404,12 @@ def wide_to_long(spark, sf):
 @query("""
 WITH d AS (SELECT DISTINCT guest_role FROM episode_guests_normalized WHERE trim(guest_role) <> ''),
 c AS (SELECT guest_role, list_filter(list_transform(regexp_split_to_array(guest_role, '[,;|/\\\\-]+'), lambda x: trim(x, ' ')), lambda x: x <> '') AS c FROM d)
-SELECT guest_role, c[1] AS chunk_1, c[2] AS chunk_2, len(c)::INT AS n_chunks FROM c""")
+SELECT guest_role, len(c)::INT AS n_chunks, i AS chunk_no, c[i] AS chunk FROM (SELECT guest_role, c, unnest(range(1, len(c) + 1)) AS i FROM c)""")
 def label_chunks(spark, sf):
+    """Every chunk of a label with its number, whatever their count; wide() makes columns of them."""
     d = table(spark, sf, "episode_guests_normalized").where("trim(guest_role) <> ''").select("guest_role").distinct().withColumn("c", reshape.chunks(F.col("guest_role")))
-    return d.select("guest_role", F.get("c", F.lit(0)).alias("chunk_1"), F.get("c", F.lit(1)).alias("chunk_2"), F.size("c").alias("n_chunks"))
+    d = d.select("guest_role", F.size("c").alias("n_chunks"), F.posexplode("c").alias("pos", "chunk"))
+    return d.select("guest_role", "n_chunks", (F.col("pos") + 1).cast("long").alias("chunk_no"), "chunk")
 
 
 @query("""
@@ -429,13 +430,17 @@ def centered_share(spark, sf):
     return g.select("programme", "n", p(F.col("l")).alias("left_pct"), p(F.col("r")).alias("right_pct"), p(F.col("n") - F.col("l") - F.col("r")).alias("unknown_pct"))
 
 
-@query("""
-WITH n AS (SELECT count(*) AS n FROM aligned)
-SELECT 'label_wikidata' AS column_name, count(*) FILTER (WHERE trim(label_wikidata) <> '') AS filled, round(count(*) FILTER (WHERE trim(label_wikidata) <> '') * 1.0e0 / max(n), 4) AS share FROM aligned, n
-UNION ALL SELECT 'label_zdf', count(*) FILTER (WHERE trim(label_zdf) <> ''), round(count(*) FILTER (WHERE trim(label_zdf) <> '') * 1.0e0 / max(n), 4) FROM aligned, n
-UNION ALL SELECT 'notes', count(*) FILTER (WHERE trim(notes) <> ''), round(count(*) FILTER (WHERE trim(notes) <> '') * 1.0e0 / max(n), 4) FROM aligned, n""")
+_ALIGNED = [
+    "alignment_unit_id", "wikidata_id", "fernsehserien_de_id", "mention_id", "canonical_label", "open_refine_name", "entity_class", "match_confidence", "match_tier", "match_strategy",
+    "evidence_summary", "unresolved_reason_code", "unresolved_reason_detail", "inference_flag", "inference_basis", "notes", "label_wikidata", "label_fernsehserien_de", "label_zdf",
+    "description_wikidata", "description_fernsehserien_de", "description_zdf", "alias_wikidata", "alias_fernsehserien_de", "alias_zdf", "program_name", "episode_date", "aligned_at",
+]
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE trim({c}::VARCHAR) <> '') AS filled, round(count(*) FILTER (WHERE trim({c}::VARCHAR) <> '') * 1.0e0 / count(*), 4) AS share FROM aligned" for c in _ALIGNED))
 def column_population(spark, sf):
-    return reshape.population(table(spark, sf, "aligned").select("label_wikidata", "label_zdf", "notes"))
+    """Of all columns of the table."""
+    return reshape.population(table(spark, sf, "aligned"))
 
 
 # ---------------------------------------------------------------- duplicates and clusters
@@ -511,9 +516,9 @@ def set_intersect(spark, sf):
     return a.intersect(table(spark, sf, "episode_guests_normalized").select(F.col("episode_url").alias("url")))
 
 
-@query(_SQL + "SELECT guest, label FROM per WHERE guest IN (SELECT guest FROM gu WHERE programme LIKE 'b%')")
+@query(_SQL + "SELECT guest, label FROM per WHERE guest IN (SELECT guest FROM gu WHERE programme LIKE '%talk%')")
 def semi_scope(spark, sf):
-    scope = guests(spark, sf).where("programme LIKE 'b%'").select("guest")
+    scope = guests(spark, sf).where("programme LIKE '%talk%'").select("guest")
     return persons(spark, sf).select("guest", "label").join(scope, "guest", "left_semi")
 
 
@@ -700,23 +705,13 @@ def class_resolution(spark, sf):
     )
 
 
-@query(_EDGE + """
-, w AS (SELECT c AS node, p AS ancestor, 1 AS depth FROM e UNION SELECT w.node, e.p, w.depth + 1 FROM w JOIN e ON e.c = w.ancestor WHERE w.depth < 5),
-pr AS (SELECT DISTINCT node, ancestor FROM w), d AS (SELECT p AS node, count(*) AS n FROM e GROUP BY 1),
-u AS (SELECT pr.ancestor AS node, sum(d.n) AS below FROM pr JOIN d USING (node) GROUP BY 1)
-SELECT node, coalesce(d.n, 0)::BIGINT AS n_direct, (coalesce(d.n, 0) + coalesce(u.below, 0))::BIGINT AS n_total FROM d FULL JOIN u USING (node)""")
-def propagated_counts(spark, sf):
-    e = _edges(spark, sf)
-    return graph.propagated_counts(graph.closure(e, "c", "p", 5), e.groupBy(F.col("p").alias("node")).agg(F.count("*").alias("n")))
-
-
 @query(_EDGE + """
 , w AS (SELECT c AS node, p AS ancestor FROM e UNION SELECT w.node, e.p FROM w JOIN e ON e.c = w.ancestor),
 d AS (SELECT p AS node, count(*) AS n FROM e GROUP BY 1),
 u AS (SELECT w.ancestor AS node, sum(d.n) AS below FROM w JOIN d USING (node) GROUP BY 1)
 SELECT node, coalesce(d.n, 0)::BIGINT AS n_direct, (coalesce(d.n, 0) + coalesce(u.below, 0))::BIGINT AS n_total FROM d FULL JOIN u USING (node)""")
-def propagated_counts_all(spark, sf):
-    """As propagated_counts, which its SQL cuts at five levels, over all descendants."""
+def propagated_counts(spark, sf):
+    """Own count and that of all descendants, however deep."""
     e = _edges(spark, sf)
     return graph.propagated_counts(graph.closure(e, "c", "p"), e.groupBy(F.col("p").alias("node")).agg(F.count("*").alias("n")))
 
@@ -736,18 +731,11 @@ def adjacency(spark, sf):
     return graph.adjacency(_edges(spark, sf), "c", "p")
 
 
-@query(_EDGE + """
-, w AS (SELECT c AS node, p AS ancestor, 1 AS depth FROM e UNION SELECT w.node, e.p, w.depth + 1 FROM w JOIN e ON e.c = w.ancestor WHERE w.depth < 12)
-SELECT DISTINCT node FROM w WHERE node = ancestor""")
-def loop_members(spark, sf):
-    return graph.closure(_edges(spark, sf), "c", "p", 12).where("node = ancestor").select("node").distinct()
-
-
 @query(_EDGE + """
 , w AS (SELECT c AS node, p AS ancestor FROM e UNION SELECT w.node, e.p FROM w JOIN e ON e.c = w.ancestor)
 SELECT DISTINCT node FROM w WHERE node = ancestor""")
-def loop_members_all(spark, sf):
-    """As loop_members, which its SQL cuts at loops of twelve, on loops of any length."""
+def loop_members(spark, sf):
+    """Classes on loops of any length."""
     return graph.closure(_edges(spark, sf), "c", "p").where("node = ancestor").select("node").distinct()
 
 
@@ -784,17 +772,17 @@ def rewired_edges(spark, sf):
     return graph.rewire(t, rules)
 
 
-@query(_SQL + """
-, s AS (SELECT guest FROM per WHERE birthplace LIKE 'Ober%'), sh AS (SELECT DISTINCT programme FROM gu WHERE guest IN (SELECT guest FROM s)),
-r AS (SELECT guest AS entity, 0 AS k FROM s UNION ALL SELECT programme, 1 FROM sh UNION ALL SELECT DISTINCT guest, 2 FROM gu WHERE programme IN (SELECT programme FROM sh) AND guest NOT IN (SELECT guest FROM s))
-SELECT k::BIGINT AS round, count(*) AS entities FROM r GROUP BY 1""")
+@query(_SQL.replace("WITH a0", "WITH RECURSIVE a0") + """
+, s AS (SELECT guest FROM per WHERE birthplace LIKE 'Ober%'), x AS (SELECT DISTINCT guest, programme FROM gu),
+w AS (SELECT guest AS entity, 0 AS k FROM s UNION SELECT y.b, w.k + 1 FROM w JOIN (SELECT guest AS a, programme AS b FROM x UNION ALL SELECT programme, guest FROM x) y ON y.a = w.entity WHERE w.k < 6)
+SELECT entity, min(k)::BIGINT AS round FROM w GROUP BY 1""")
 def relevancy_propagation(spark, sf):
-    """Relevance from some guests to their shows and on to those shows' guests; the shows' guests reach no new programme."""
+    """Relevance from some guests to their shows and on to those shows' guests, until a round adds none; on these tables the third already does not."""
     seeds = persons(spark, sf).where("birthplace LIKE 'Ober%'").select(F.col("guest").alias("entity"))
     none = F.lit(None).cast("string")
     rules = spark.range(1).select(F.lit("appears_in").alias("predicate"), none.alias("subject_class"), none.alias("object_class"))
     classes = seeds.limit(0).withColumn("class", none)
-    return graph.propagate_relevance(_triples(spark, sf), seeds, rules, classes, max_rounds=2, both_ways=True).groupBy("round").agg(F.count("*").alias("entities"))
+    return graph.propagate_relevance(_triples(spark, sf), seeds, rules, classes, both_ways=True).select("entity", "round")
 
 
 @query(_TRIPLES + """
@@ -814,14 +802,17 @@ def relation_contexts(spark, sf):
     return t.where("birthplace IS NOT NULL").select(F.col("birthplace").alias("subject_class"), "predicate", F.col("object").alias("object_class")).distinct()
 
 
-@query(_TRIPLES + """
-, k AS (SELECT id FROM entity_store_jsonl)
-SELECT d.wikidata_id AS qid, count(*) AS n_refs FROM (SELECT DISTINCT canonical_entity_id, wikidata_id FROM dedup_persons WHERE trim(wikidata_id) <> '') d WHERE d.wikidata_id NOT IN (SELECT id FROM k WHERE id IS NOT NULL) GROUP BY 1""")
+@query("""
+WITH k AS (SELECT DISTINCT id FROM entity_store_jsonl WHERE id <> ''),
+r AS (SELECT DISTINCT alignment_unit_id AS owner, wikidata_id AS qid FROM aligned WHERE trim(wikidata_id) <> ''
+      UNION SELECT DISTINCT class_id, 'Q' || regexp_extract(resolved_core_class_id, '[Qq]\\s*0*([0-9]+)', 1) FROM class_resolution_map WHERE regexp_extract(coalesce(resolved_core_class_id, ''), '[Qq]\\s*0*([0-9]+)', 1) <> '')
+SELECT qid, count(*) AS n_refs FROM r WHERE qid NOT IN (SELECT id FROM k) GROUP BY 1""")
 def hydration_gaps(spark, sf):
-    """Ids that are referred to but have no document."""
-    d = table(spark, sf, "dedup_persons").where("trim(wikidata_id) <> ''").select("canonical_entity_id", F.col("wikidata_id").alias("qid")).distinct()
-    have = table(spark, sf, "entity_store_jsonl").select(F.col("id").alias("qid"))
-    return d.join(have, "qid", "left_anti").groupBy("qid").agg(F.count("*").alias("n_refs"))
+    """Ids that units and classes refer to but that have no document."""
+    a = table(spark, sf, "aligned").where("trim(wikidata_id) <> ''").select(F.col("alignment_unit_id").alias("owner"), F.col("wikidata_id").alias("qid"))
+    c = table(spark, sf, "class_resolution_map").select(F.col("class_id").alias("owner"), H.q_number(F.col("resolved_core_class_id")).alias("qid")).where("qid IS NOT NULL")
+    have = table(spark, sf, "entity_store_jsonl").where("id <> ''").select(F.col("id").alias("qid")).distinct()
+    return a.union(c).distinct().join(have, "qid", "left_anti").groupBy("qid").agg(F.count("*").alias("n_refs"))
 
 
 @query("""
@@ -830,8 +821,10 @@ SELECT c AS candidates, count(*) AS classes, count(*) FILTER (WHERE conflict_fla
        array_to_string(list_slice(list_sort(list(DISTINCT class_id)), 1, 5), '|') AS examples FROM d WHERE conflict_flag GROUP BY 1""")
 def conflict_patterns(spark, sf):
     d = table(spark, sf, "class_resolution_map").select("class_id", F.col("candidate_core_class_ids").alias("candidates"), "conflict_flag", "resolution_depth").distinct().where("conflict_flag")
-    five = F.array_join(F.slice(F.array_sort(F.collect_set("class_id")), 1, 5), "|")
-    return d.groupBy("candidates").agg(F.count("*").alias("classes"), F.count_if("conflict_flag").alias("conflicts"), F.median("resolution_depth").alias("median_depth"), F.max("resolution_depth").alias("max_depth"), five.alias("examples"))
+    first = stats.top_per_group(d.select("candidates", "class_id").distinct(), "candidates", ["class_id"], 5)
+    five = first.groupBy("candidates").agg(F.array_join(F.array_sort(F.collect_list("class_id")), "|").alias("examples"))  # five at most
+    g = d.groupBy("candidates").agg(F.count("*").alias("classes"), F.count_if("conflict_flag").alias("conflicts"), F.median("resolution_depth").alias("median_depth"), F.max("resolution_depth").alias("max_depth"))
+    return g.join(five, g.candidates.eqNullSafe(five.candidates)).drop(five.candidates)
 
 
 # ---------------------------------------------------------------- scalar functions
@@ -870,10 +863,13 @@ def parse_years(spark, sf):
 
 
 @query("""
-WITH e AS (SELECT event_id, ts AS start_ts, date_trunc('day', ts) + to_minutes((event_id * 37) % 1440) AS end_ts FROM events)
-SELECT event_id, CASE WHEN end_ts <= start_ts THEN end_ts + INTERVAL 1 DAY ELSE end_ts END AS end_ts, end_ts <= start_ts AS spans_next_day FROM e""")
+WITH e AS (SELECT event_id, ts AS start_ts, lead(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS nxt FROM events),
+f AS (SELECT event_id, start_ts, date_trunc('day', start_ts) + (nxt - date_trunc('day', nxt)) AS end_ts FROM e WHERE nxt IS NOT NULL)
+SELECT event_id, CASE WHEN end_ts <= start_ts THEN end_ts + INTERVAL 1 DAY ELSE end_ts END AS end_ts, end_ts <= start_ts AS spans_next_day FROM f""")
 def rollover_times(spark, sf):
-    e = table(spark, sf, "events").select("event_id", F.col("ts").alias("s"), (F.date_trunc("day", "ts") + F.make_interval(mins=((F.col("event_id") * 37) % 1440).cast("int"))).cast("timestamp_ntz").alias("e"))
+    """An event ends at the clock time of the user's next one; where that is not later in the day, on the day after."""
+    e = table(spark, sf, "events").withColumn("nxt", F.lead("ts").over(Window.partitionBy("user_id").orderBy("event_id"))).where("nxt IS NOT NULL")
+    e = e.select("event_id", F.col("ts").cast("timestamp_ntz").alias("s"), (F.date_trunc("day", "ts").cast("timestamp_ntz") + (F.col("nxt") - F.date_trunc("day", "nxt"))).cast("timestamp_ntz").alias("e"))
     return e.select("event_id", C.end_with_rollover(F.col("s"), F.col("e")).alias("end_ts"), (F.col("e") <= F.col("s")).alias("spans_next_day"))
 
 
@@ -934,17 +930,21 @@ def ordinal_windows(spark, sf):
     return _windows(spark, sf)
 
 
-@query(_OW + """SELECT event_type, window_no, round(exp(sum(ln(CASE WHEN large > 10 THEN 1.05e0 ELSE 0.99e0 END)) OVER (PARTITION BY event_type ORDER BY window_no)), 6) AS delay FROM w""")
+@query(_OW + """
+, b AS (SELECT event_type, window_no, large > 10 AS bad FROM w),
+i AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY window_no) - row_number() OVER (PARTITION BY event_type, bad ORDER BY window_no) AS island FROM b),
+k AS (SELECT *, row_number() OVER (PARTITION BY event_type, bad, island ORDER BY window_no) AS run FROM i)
+SELECT event_type, window_no, round(exp(sum(ln(CASE WHEN run % 3 <> 0 THEN 1e0 WHEN bad THEN 1.05e0 ELSE 0.99e0 END)) OVER (PARTITION BY event_type ORDER BY window_no)), 6) AS delay FROM k""")
 def adaptive_delay(spark, sf):
-    return events.adaptive_delay(_windows(spark, sf), ["event_type"], F.col("large") > 10).select("event_type", "window_no", "delay")
+    return events.adaptive_delay(_windows(spark, sf), ["event_type"], F.col("large") > 10, 3).select("event_type", "window_no", "delay")
 
 
 @query("""
 WITH l AS (SELECT discovered_at_utc AS t, id, length(labels) AS n, labels FROM entity_store_jsonl WHERE id <> '')
-SELECT id, min(t) AS first_seen, max(t) AS last_seen, count(DISTINCT t) AS versions FROM l GROUP BY 1""")
+SELECT id, min(t) AS first_seen, max(t) AS last_seen, count(DISTINCT t) AS versions, max({'t': t, 'd': labels}).d AS labels FROM l WHERE t IS NOT NULL GROUP BY 1""")
 def upsert_history(spark, sf):
-    e = table(spark, sf, "entity_store_jsonl").where("id <> ''").withColumn("seq", F.col("discovered_at_utc"))
-    return events.upsert_history(e, ["id"], "seq", "discovered_at_utc", "labels").drop("labels")
+    e = table(spark, sf, "entity_store_jsonl").where("id <> '' AND discovered_at_utc IS NOT NULL").withColumn("seq", F.col("discovered_at_utc"))
+    return events.upsert_history(e, ["id"], "seq", "discovered_at_utc", "labels")
 
 
 @query("""
@@ -1014,11 +1014,28 @@ def quality_gates(spark, sf):
     })
 
 
-@query("""
-SELECT 'events' AS source, (SELECT count(*) FROM events) AS "rows", 6::BIGINT AS columns, 'event_id, event_type, props, ts, user_id, value' AS first_columns
-UNION ALL SELECT 'value_labels', (SELECT count(*) FROM value_labels), 3::BIGINT, 'label, qid, value_kind'""")
+_TABLES = [
+    "aligned", "class_resolution_map", "core_classes", "customer", "dedup_persons", "doc_labels", "documents", "embeddings", "entity_store_jsonl", "episode_appearances",
+    "episode_guests_normalized", "eval_items", "events", "lineitem", "nation", "orders", "part", "region", "subject_areas", "supplier", "value_labels",
+]
+
+
+@query(" UNION ALL ".join(f"SELECT '{t}' AS source, (SELECT count(*) FROM {t}) AS \"rows\", count(*) AS columns, array_to_string(list_slice(list_sort(list(column_name)), 1, 8), ', ') AS first_columns FROM (DESCRIBE {t})" for t in _TABLES))
 def source_inventory(spark, sf):
-    return gates.inventory({k: table(spark, sf, k) for k in ("events", "value_labels")})
+    """Rows, columns and first columns of every table."""
+    return gates.inventory({k: table(spark, sf, k) for k in _TABLES})
+
+
+@query("""
+WITH c AS (SELECT class_id, resolved_core_class_id, resolution_depth, resolution_reason, conflict_flag, candidate_core_class_ids, candidate_paths_json, max_depth, resolved_at FROM class_resolution_map)
+SELECT count(*) AS n_rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM c)) AS n_distinct, 9::BIGINT AS n_columns, true AS same_in_any_order FROM c""")
+def signature_check(spark, sf):
+    """The signature of a table is the same with rows and columns in another order, and another one if a row is missing."""
+    d = table(spark, sf, "class_resolution_map")
+    turned = d.select(*reversed(d.columns)).repartition(5)
+    both = gates.signature(d).crossJoin(gates.signature(turned).toDF("rows_2", "signature_2"))  # one row each
+    n = d.agg(F.count("*").alias("n_rows")).crossJoin(d.distinct().agg(F.count("*").alias("n_distinct")))
+    return n.crossJoin(both).select("n_rows", "n_distinct", F.lit(len(d.columns)).cast("long").alias("n_columns"), (F.col("signature") == F.col("signature_2")).alias("same_in_any_order"))
 
 
 @query(None)
