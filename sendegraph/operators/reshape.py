@@ -93,3 +93,49 @@ def crosstab(df: DataFrame, rows: str, cols: str, values: list[str], carrier: st
 def chunks(c: Column) -> Column:
     """The parts of a label between commas, semicolons, bars, slashes and hyphens."""
     return F.filter(F.transform(F.split(c, r"[,;|/\\-]+"), lambda x: F.trim(x)), lambda x: x != "")
+
+
+def append_wide(base: DataFrame, wide_rows: DataFrame, key: str) -> DataFrame:
+    """Base rows with the columns of a wide table; columns of the same names from an earlier run are replaced, so it may be run again."""
+    new = [c for c in wide_rows.columns if c != key]
+    return base.drop(*new).join(wide_rows, key, "left")
+
+
+def in_order_of(df: DataFrame, key: str, order: DataFrame, place: str) -> DataFrame:
+    """``position`` of each row by another table's places (key, place), rows without one at the end in order of the key."""
+    from .stats import running
+
+    d = df.join(order.groupBy(key).agg(F.min(place).alias("_place")), key, "left").withColumn("_one", F.lit(1))
+    return running(d, [F.asc_nulls_last("_place"), F.asc(key)], "_one").withColumnRenamed("rank", "position").drop("_place", "_one", "running", "cumulative_pct")
+
+
+def overwrite(df: DataFrame, column: str, mask: Column, value: Column) -> DataFrame:
+    """The column replaced where the mask is true; null is not true."""
+    return df.withColumn(column, F.when(F.coalesce(mask, F.lit(False)), value).otherwise(F.col(column)))
+
+
+def enabled(catalogue: DataFrame, flag: str, kind: str, derived: str = "derived") -> DataFrame:
+    """Rows of a catalogue that are not switched off (``0``) and not of the derived kind; null is switched on."""
+    return catalogue.where((F.coalesce(F.trim(F.col(flag).cast("string")), F.lit("")) != "0") & (F.coalesce(kind, F.lit("")) != derived))
+
+
+def schema_mapping(spark, frames: dict[str, DataFrame], wanted: dict[str, list[tuple[str, str]]]) -> DataFrame:
+    """(source, source_column, canonical, strategy): the first wanted column that a source has, for each canonical name; ``a.b`` needs a only."""
+    rows = []
+    for source, df in frames.items():
+        for canonical, options in wanted.items():
+            for column, strategy in options:
+                if column.split(".")[0] in df.columns:
+                    rows.append((source, column, canonical, strategy))
+                    break
+    return spark.createDataFrame(rows, "source string, source_column string, canonical string, strategy string")
+
+
+def allowed(asked: str | list[str] | None, known: list[str]) -> list[str]:
+    """The mention types asked for, in the known order; none asked for means all; an unknown one is an error."""
+    got = [x.strip().lower() for x in (asked.split(",") if isinstance(asked, str) else asked or [])]
+    got = [x for x in got if x]
+    wrong = sorted(set(got) - set(known))
+    if wrong:
+        raise ValueError(f"unknown types: {', '.join(wrong)}")
+    return [x for x in known if not got or x in got]

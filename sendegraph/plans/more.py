@@ -14,25 +14,12 @@ from . import registry as R
 query = R.query
 
 
-@query(None)
-def entity_triples(spark, sf):
-    """Claims whose value is an entity, as triples."""
-    return E.entity_triples(table(spark, sf, "entity_store_jsonl"))
-
-
 @query(None)
 def claim_values(spark, sf):
     """Typed main values of all statements."""
     return E.statements(table(spark, sf, "entity_store_jsonl"))
 
 
-@query(None)
-def claim_years(spark, sf):
-    """Statements by property and year of their time value."""
-    s = E.statements(table(spark, sf, "entity_store_jsonl")).where("time IS NOT NULL")
-    return s.groupBy("pid", C.year_of(F.col("time")).alias("year")).agg(F.count("*").alias("statements"))
-
-
 _CANDS = R._EDGE + """
 , w AS (SELECT c AS node, p AS ancestor, 1 AS depth FROM e UNION SELECT w.node, e.p, w.depth + 1 FROM w JOIN e ON e.c = w.ancestor WHERE w.depth < 8),
 m AS (SELECT node, ancestor AS core, min(depth) AS depth FROM w WHERE ancestor IN (SELECT class_id FROM core_classes) GROUP BY 1, 2)

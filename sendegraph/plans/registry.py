@@ -516,9 +516,9 @@ def set_intersect(spark, sf):
     return a.intersect(table(spark, sf, "episode_guests_normalized").select(F.col("episode_url").alias("url")))
 
 
-@query(_SQL + "SELECT guest, label FROM per WHERE guest IN (SELECT guest FROM gu WHERE programme LIKE '%talk%')")
+@query(_SQL + "SELECT guest, label FROM per WHERE guest IN (SELECT guest FROM gu WHERE programme LIKE 'spiegel%')")
 def semi_scope(spark, sf):
-    scope = guests(spark, sf).where("programme LIKE '%talk%'").select("guest")
+    scope = guests(spark, sf).where("programme LIKE 'spiegel%'").select("guest")
     return persons(spark, sf).select("guest", "label").join(scope, "guest", "left_semi")
 
 
@@ -1046,22 +1046,6 @@ def snapshot_signature(spark, sf):
 # ---------------------------------------------------------------- text extraction
 
 
-@query(None)
-def mention_rows(spark, sf):
-    """Persons named in the documents, by the rules for blocks of names."""
-    from ..functions import mentions as M
-
-    return M.mention_rows(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
-
-
-@query(None)
-def topic_rows(spark, sf):
-    """Topics of the documents."""
-    from ..functions import mentions as M
-
-    return M.topic_rows(table(spark, sf, "documents").select("doc_id", "text"), "doc_id", "text")
-
-
 @query("""
 WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(text, '. '), lambda x: trim(x, ' ')), lambda x: x <> '') AS s FROM documents)
 SELECT doc_id, len(s)::BIGINT AS sentences, s[1] AS first_sentence FROM s WHERE len(s) > 0""")

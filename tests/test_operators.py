@@ -59,7 +59,7 @@ def test_mentions(spark):
     got = list(M.persons("Markus LANZ mit Anna MEIER und ihre Mutter Eva MEIER (Ärztin)"))
     assert [(g[0], g[1], g[2], g[3], g[4]) for g in got] == [("Anna MEIER", "guest", "", "name_without_local_parenthetical", 0.55), ("Eva MEIER", "incidental", "Ärztin", "last_name_parenthetical", 0.82)]
     assert [(g[0], g[3], g[4]) for g in M.persons("Markus LANZ mit Anna MEIER (Ärztin)")] == [("Anna MEIER", "single_parenthetical", 0.95)]
-    assert [t[0] for t in M.topics("Themen: Klima; Rente")] == ["Klima", "Rente"] and list(M.persons(None)) == [] and list(M.topics("")) == []
+    assert list(M.persons(None)) == []
     assert list(M.persons("x (" * 50_000)) == []
     text = "Publikation\n01.02.2020 23:15:00 75'30 12345/12345 ZDF\nArchivnummer 1"
     r = M.publication_rows(spark.createDataFrame([("e", text), ("f", None)], "k string, t string"), "k", "t").collect()

@@ -9,7 +9,7 @@ import pytest
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
-from sendegraph.plans import more, problems, registry  # noqa: E402, F401
+from sendegraph.plans import further, more, problems, registry  # noqa: E402, F401
 
 QUERIES = {**registry.QUERIES, **problems.QUERIES}
 ORACLE = {**registry.ORACLE, **problems.ORACLE}
