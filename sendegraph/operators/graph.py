@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -35,23 +35,115 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
 def closure(edges: DataFrame, child: str, parent: str, max_depth: int | None = None) -> DataFrame:
     """(node, ancestor, depth): least depth at which each ancestor is reached, up to ``max_depth`` if given; cycles end by themselves.
 
-    Nodes may have several parents. Each level joins the new pairs with the edges
-    and drops those already known.
+    Nodes may have several parents. Each round joins the new pairs with the edges
+    and drops those already known. Without ``max_depth`` a round takes a band of
+    four levels: the pairs up to that distance are joined first, and only the
+    farthest of a band go on.
     """
     e = materialize(edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("c IS NOT NULL AND p IS NOT NULL").distinct(), "edges")
-    new = e.select(F.col("c").alias("node"), F.col("p").alias("ancestor"), F.lit(1).cast("long").alias("depth"))
-    known = new
-    d = 1
+    new, band = e.select(F.col("c").alias("node"), F.col("p").alias("ancestor"), F.lit(1).cast("long").alias("depth")), 1
+    least = lambda df: df.groupBy("node", "ancestor").agg(F.min("depth").alias("depth"))
+    step = lambda a, b: a.join(b.select(F.col("node").alias("c"), F.col("ancestor").alias("p"), F.col("depth").alias("more")), F.col("ancestor") == F.col("c")).select("node", F.col("p").alias("ancestor"), (F.col("depth") + F.col("more")).alias("depth"))
+    while max_depth is None and band < 4:
+        new, band = materialize(least(new.unionByName(step(new, new))), "band"), band * 2
+    known, near, d = new, new, band
     while max_depth is None or d < max_depth:
-        d += 1
-        step = new.join(e, F.col("ancestor") == F.col("c")).select("node", F.col("p").alias("ancestor")).distinct()
-        new = materialize(step.join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(d).cast("long")), "level")
+        far = least(step(new.where(F.col("depth") == d), near))
+        new = materialize(far.join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti"), "level")
+        d += band
         if new.isEmpty():
             break
         known = known.unionByName(new)
     return known
 
 
+def chains(edges: DataFrame, direct: DataFrame | None = None) -> tuple[DataFrame, list[DataFrame]]:
+    """Edges (c, p) as chains between joints: the joints' edges, and each node's pointers up its chain.
+
+    Joints are the nodes with several parents and at least one node of each cycle
+    that has none of these; a chain ends at a joint or at a node without a parent.
+    Table k has (node, top, len): the node ``len`` steps up, 2 ** k of them or as
+    many as there are to the end; joints and ends have themselves and 0. The last
+    table has the end of every chain. With ``direct`` (node, n) the tables also have
+    the own ``n`` and the sum ``below`` over the chains that come in, null for none.
+
+    A cycle is cut where the hash of a node is the least of the run up from it; a
+    run that leads to a cycle may be cut above it as well, which does no harm.
+    """
+    out = edges.groupBy(F.col("c").alias("node")).agg(F.count("*").alias("k"), F.min("p").alias("p")).select("node", F.when(F.col("k") == 1, F.col("p")).alias("up"))
+    t = materialize(
+        edges.select(F.col("p").alias("node"), F.lit(None).alias("up")).unionByName(out).groupBy("node").agg(F.max("up").alias("up"))
+        .select("node", "up", F.coalesce("up", "node").alias("top"), F.col("up").isNotNull().cast("long").alias("len"), F.xxhash64("node").alias("low")),
+        "pointers",
+    )
+    running, k = t.where("len = 1").count(), 0
+    while running:
+        t = materialize(_doubled(t, k, low=lambda a, b: F.least(a, b)), "pointers")
+        k, before = k + 1, running
+        running = t.where(F.col("len") == 2**k).count()
+        if running == before:  # whatever is still running, runs in circles
+            break
+    cut = (F.col("len") == 2**k) & (F.xxhash64("node") == F.col("low"))
+    up = F.when(~(F.col("up").isNull() | cut), F.col("up"))
+    t = t.select("node", F.coalesce(up, "node").alias("top"), up.isNotNull().cast("long").alias("len"))
+    if direct is not None:
+        t = t.join(direct.groupBy("node").agg(F.sum("n").alias("n")), "node", "full").select("node", F.coalesce("top", "node").alias("top"), F.coalesce("len", F.lit(0)).cast("long").alias("len"), "n", F.lit(None).cast("long").alias("below"))
+    tables = [materialize(t, "chains")]
+    while not tables[-1].where(F.col("len") == 2 ** (len(tables) - 1)).isEmpty():
+        t, k = tables[-1], len(tables) - 1
+        nxt = _doubled(t, k)
+        if direct is not None:
+            add = t.where(F.col("len") == 2**k).groupBy(F.col("top").alias("node")).agg(F.sum(_plus("n", "below")).alias("add"))
+            nxt = nxt.join(add, "node", "left").withColumn("below", _plus("below", "add")).drop("add")
+        tables.append(materialize(nxt, "chains"))
+    joints = edges.join(tables[0].where("len = 0").select(F.col("node").alias("c")), "c", "left_semi")
+    return materialize(joints, "joints"), tables
+
+
+def _plus(a: str, b: str) -> Column:
+    """The sum, where null counts as nothing."""
+    return F.coalesce(F.col(a) + F.col(b), F.col(a), F.col(b))
+
+
+def _doubled(t: DataFrame, k: int, **merge) -> DataFrame:
+    """Pointers of up to 2 ** k steps made up to twice as long; ``merge`` joins the columns that belong to a run."""
+    far = t.select(F.col("node").alias("f_node"), F.col("top").alias("f_top"), F.col("len").alias("f_len"), *[F.col(c).alias(f"f_{c}") for c in merge])
+    new = {"top": F.col("f_top"), "len": F.col("len") + F.col("f_len"), **{c: f(F.col(c), F.col(f"f_{c}")) for c, f in merge.items()}}
+    moved = t.where(F.col("len") == 2**k).join(far, F.col("top") == F.col("f_node"))
+    return t.where(F.col("len") < 2**k).unionByName(moved.select(*[new[c].alias(c) if c in new else F.col(c) for c in t.columns]))
+
+
+def _up(points: DataFrame, tables: list[DataFrame]) -> DataFrame:
+    """points (…, at) and all that lies on the chains up from them, ends included."""
+    for k in reversed(range(len(tables))):
+        jump = tables[k].where(F.col("len") == 2**k).select(F.col("node").alias("j_node"), F.col("top").alias("j_top"))
+        keep = [c for c in points.columns if c != "at"]
+        points = points.join(jump, F.col("at") == F.col("j_node"), "left").select(*keep, F.explode(F.array_compact(F.array("at", "j_top"))).alias("at")).distinct()
+    return points
+
+
+def _reach(edges: DataFrame, child: str, parent: str, direct: DataFrame | None = None) -> tuple[DataFrame, DataFrame, list[DataFrame]]:
+    """The joints' edges (c, p, end of p's chain), the pairs of joints (node, ancestor) and the tables of :func:`chains`."""
+    e = materialize(edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("c IS NOT NULL AND p IS NOT NULL").distinct(), "edges")
+    joints, tables = chains(e, direct)
+    ends = joints.join(tables[-1].select(F.col("node").alias("p"), F.col("top").alias("end")), "p")
+    ends = materialize(ends.join(joints.select(F.col("c").alias("end"), F.lit(True).alias("joint")).distinct(), "end", "left").select("c", "p", F.when(F.col("joint"), F.col("end")).alias("end")), "ends")
+    return ends, closure(ends, "c", "end").select("node", "ancestor"), tables
+
+
+def loop_members(edges: DataFrame, child: str, parent: str) -> DataFrame:
+    """(node): the nodes on loops of any length, a node that points to itself too.
+
+    Which joints reach which is found by :func:`closure`; between them the nodes of
+    a chain are on a loop where its ends reach each other. The work grows with the
+    pairs of joints, not with those of all nodes.
+    """
+    ends, pairs, tables = _reach(edges, child, parent)
+    back = pairs.select(F.col("node").alias("end"), F.col("ancestor").alias("c"))
+    inside = ends.where("c = end").select("p").unionByName(ends.join(back, ["end", "c"], "left_semi").select("p"))
+    return _up(inside.select(F.col("p").alias("at")).distinct(), tables).select(F.col("at").alias("node"))
+
+
 def rewire(edges: DataFrame, rules: DataFrame) -> DataFrame:
     """Edges (subject, predicate, object) with those of the rules (…, rule ``add`` or ``remove``) added and removed."""
     cols = ["subject", "predicate", "object"]

@@ -736,7 +736,7 @@ def adjacency(spark, sf):
 SELECT DISTINCT node FROM w WHERE node = ancestor""")
 def loop_members(spark, sf):
     """Classes on loops of any length."""
-    return graph.closure(_edges(spark, sf), "c", "p").where("node = ancestor").select("node").distinct()
+    return graph.loop_members(_edges(spark, sf), "c", "p")
 
 
 @query(_EDGE + """
