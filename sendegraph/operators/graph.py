@@ -222,11 +222,22 @@ def adjacency(edges: DataFrame, a: str, b: str) -> DataFrame:
     return o.unionByName(i).groupBy("node").agg(F.sum("n_out").alias("n_out"), F.sum("n_in").alias("n_in"))
 
 
-def propagated_counts(pairs: DataFrame, direct: DataFrame) -> DataFrame:
-    """(node, n_direct, n_total): own count and that of all descendants.
-
-    pairs (node, ancestor); direct (node, n).
+def propagated_counts(edges: DataFrame, child: str, parent: str, direct: DataFrame) -> DataFrame:
+    """(node, n_direct, n_total): own count and that of all descendants, each once; a node on a loop is its own descendant.
+
+    direct (node, n); nodes that neither have a row there nor a descendant with one
+    are left out. Counts are summed up the chains; pairs are made only of joints
+    (:func:`chains`) and what they reach, each with the sum of the joint's chains.
+    What is on a loop is reached by the joint at the end of its own chain, and so
+    are all that come in on it; elsewhere none is.
     """
-    up = pairs.select("node", "ancestor").join(direct, "node").groupBy(F.col("ancestor").alias("node")).agg(F.sum("n").alias("below"))
-    both = direct.select("node", F.col("n").alias("n_direct"), F.lit(0).cast("long").alias("below")).unionByName(up.select("node", F.lit(0).cast("long").alias("n_direct"), "below"))
-    return both.groupBy("node").agg(F.sum("n_direct").alias("n_direct"), (F.sum("n_direct") + F.sum("below")).alias("n_total"))
+    ends, pairs, tables = _reach(edges, child, parent, direct)
+    first = ends.select(F.col("c").alias("joint"), F.col("p").alias("at"))
+    further = pairs.join(ends.select(F.col("c").alias("ancestor"), F.col("p").alias("at")), "ancestor").select(F.col("node").alias("joint"), "at")
+    reached = _up(first.unionByName(further).distinct(), tables)
+    sums = tables[-1].select(F.col("node").alias("joint"), _plus("n", "below").alias("w"))
+    reached = reached.join(sums, "joint").join(tables[-1].select(F.col("node").alias("at"), "top"), "at")
+    above = reached.groupBy(F.col("at").alias("node")).agg(F.sum("w").alias("far"), F.max(F.col("joint") == F.col("top")).alias("loop"))
+    both = tables[-1].join(above, "node", "left").withColumn("near", F.when(F.coalesce("loop", F.lit(False)), None).otherwise(F.col("below"))).withColumn("all", _plus("near", "far"))
+    nought = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return both.where("n IS NOT NULL OR all IS NOT NULL").select("node", nought("n").alias("n_direct"), (nought("n") + nought("all")).alias("n_total"))

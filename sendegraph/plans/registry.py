@@ -713,7 +713,7 @@ SELECT node, coalesce(d.n, 0)::BIGINT AS n_direct, (coalesce(d.n, 0) + coalesce(
 def propagated_counts(spark, sf):
     """Own count and that of all descendants, however deep."""
     e = _edges(spark, sf)
-    return graph.propagated_counts(graph.closure(e, "c", "p"), e.groupBy(F.col("p").alias("node")).agg(F.count("*").alias("n")))
+    return graph.propagated_counts(e, "c", "p", e.groupBy(F.col("p").alias("node")).agg(F.count("*").alias("n")))
 
 
 @query(_EDGE + """

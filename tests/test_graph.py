@@ -55,3 +55,21 @@ def test_rounds_of_long_loops_and_chains(spark, monkeypatch):
     monkeypatch.setattr(registry, "_edges", lambda *_: spark.createDataFrame([(f"n{i}", f"n{(i + 1) % 100}") for i in range(100)] + [(f"m{i}", f"m{i + 1}") for i in range(100)], E).coalesce(1))
     got, n = writes(spark, monkeypatch, lambda: registry.loop_members(spark, ""))
     assert len(got) == 100 and n < 40
+
+
+def test_counts_against_brute_force(spark, rows):
+    n = {x: i for i, x in enumerate(sorted({x for link in LINKS for x in link})) if i % 3} | {"lone": 7}
+    want = {x: [v, v] for x, v in n.items()}
+    for x, above in brute(LINKS).items():
+        for a in above:
+            if x in n:
+                want.setdefault(a, [0, 0])[1] += n[x]
+    direct = spark.createDataFrame(list(n.items()), "node string, n long")
+    assert rows(graph.propagated_counts(edges(spark), "c", "p", direct)) == sorted(((x, *v) for x, v in want.items()), key=str)
+    assert rows(graph.propagated_counts(edges(spark).limit(0), "c", "p", direct.where("n = 7 AND node = 'lone'"))) == [("lone", 7, 7)]
+
+
+def test_rounds_of_counts(spark, monkeypatch):
+    monkeypatch.setattr(registry, "_edges", lambda *_: spark.createDataFrame([(f"n{i}", f"n{i + 1}") for i in range(100)], E).coalesce(1))
+    got, n = writes(spark, monkeypatch, lambda: registry.propagated_counts(spark, ""))
+    assert {(r["node"], r["n_total"]) for r in got} == {(f"n{i}", i) for i in range(1, 101)} and n < 40
